@@ -1,0 +1,9 @@
+"""The registered queries of the mesh operators and their SQL."""
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
