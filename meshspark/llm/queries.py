@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, kd_shards, maxent_lm, mixing, near_dedup, quality, repair, secrets, toxicity
+from . import ann, bpe, kd_shards, maxent_lm, mixing, near_dedup, quality, repair, secrets, sql, toxicity
 from .common import table
 
 
@@ -66,4 +66,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
