@@ -54,18 +54,26 @@ def text_slots(text: str | None, block: int = 1 << 18) -> np.ndarray:
     return np.unique(np.concatenate(seen)) if seen else np.zeros(0, np.int32)
 
 
-def train(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, steps: int = 200, rate: float = 0.05, penalty: float = 1e-4):
-    """Logistic regression on ``ratio`` of each row's features; returns weights (already scaled) and the intercept."""
-    n = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), n)
+def train(flat: np.ndarray, n: np.ndarray, y: np.ndarray, ratio: np.ndarray, steps: int = 200, rate: float = 0.05, penalty: float = 1e-4, block: int = 1 << 20):
+    """Logistic regression on ``ratio`` of each row's features; returns weights (already scaled) and the intercept.
+
+    ``flat`` holds the rows' feature places one after the other, ``n`` how many each row has.  Every
+    step takes all rows, in blocks of about ``block`` places, so little memory is held beside ``flat``.
+    """
+    end = np.cumsum(n, dtype=np.int64)
+    cuts = np.unique(np.searchsorted(end, np.arange(0, end[-1] if len(end) else 0, block), side="left"))
+    pieces = [(a, b, int(end[a - 1]) if a else 0, int(end[b - 1])) for a, b in zip([0, *cuts[cuts > 0]], [*cuts[cuts > 0], len(n)]) if b > a]
     w, b = np.zeros(len(ratio)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
-        z = np.bincount(of, (w * ratio)[flat], minlength=len(rows)) + b
-        err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
-        g = np.bincount(flat, err[of], minlength=len(w)) * ratio + penalty * w / len(w) ** 0.5
-        gb = err.sum()
+        scaled, g, gb = w * ratio, np.zeros_like(w), 0.0
+        for i, j, lo, hi in pieces:
+            of, at = np.repeat(np.arange(j - i), n[i:j]), flat[lo:hi].astype(np.int64)
+            z = np.bincount(of, scaled[at], minlength=j - i) + b
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[i:j]) / len(y)
+            g += np.bincount(at, err[of], minlength=len(w))
+            gb += err.sum()
+        g = g * ratio + penalty * w / len(w) ** 0.5
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         k = rate * (1 - t / (steps + 1)) ** 0.5
@@ -114,15 +122,17 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (4
         import pyarrow as pa
 
         for b in batches:
-            rows = [place[s][place[s] >= 0].tolist() for s in (text_slots(x.as_py()) for x in b.column(1))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(rows, pa.list_(pa.int32()))], ["y", "rows"])
-
-    own = texts.mapInArrow(sparse, "y int, rows array<int>").toArrow()  # bounded by ``sample`` rows
-    rows = own.column("rows").combine_chunks()
-    ends = rows.offsets.to_numpy()
-    flat = rows.flatten().to_numpy()
-    first = ends[0]
-    w, b = train([flat[ends[i] - first : ends[i + 1] - first] for i in range(len(rows))], (own.column("y").to_numpy() > 0).astype(float), ratio)
+            rows = [place[s][place[s] >= 0].astype("<u2").tobytes() for s in (text_slots(x.as_py()) for x in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(rows, pa.binary())], ["y", "rows"])
+
+    # bounded by ``sample`` rows of at most FEATURES places, two bytes each
+    own = texts.mapInArrow(sparse, "y int, rows binary").toArrow()
+    y = (own.column("y").to_numpy() > 0).astype(float)
+    chunks = own.column("rows").chunks
+    n = np.concatenate([np.diff(np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in chunks]) // 2
+    flat = np.concatenate([np.frombuffer(x.as_py(), "<u2") for c in chunks for x in c])
+    del own, chunks
+    w, b = train(flat, n, y, ratio)
     return slots, w, b
 
 
