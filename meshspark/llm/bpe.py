@@ -21,6 +21,7 @@ import codecs
 import heapq
 import json
 import re
+import struct
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -213,6 +214,23 @@ class Encoder:
         return b"".join(self.pieces(text or ""))
 
 
+class LibraryEncoder(Encoder):
+    """The same units, memo and windows; the tokenizers library merges the pre-tokens that fit in a window."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_file(path).model
+        self.letter = {b: c for c, b in byte_letters().items()}
+        super().__init__(vocabulary(path))
+
+    def _pretoken(self, s: str) -> bytes:
+        if len(s) > 256:
+            return super()._pretoken(s)
+        tokens = self.model.tokenize(s.encode("utf-8").decode("latin-1").translate(self.letter))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+
+
 class Decoder:
     """Ids to text, a block at a time: a byte-to-text state machine that holds at most one unfinished character."""
 
@@ -234,6 +252,7 @@ class Decoder:
 
 _HELD: dict[str, Vocabulary] = {}
 _ENCODERS: dict[str, Encoder] = {}
+_LIBRARY_ENCODERS: dict[str, LibraryEncoder] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -249,6 +268,12 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def library_encoder(path: str) -> LibraryEncoder:
+    if path not in _LIBRARY_ENCODERS:
+        _LIBRARY_ENCODERS[path] = LibraryEncoder(path)
+    return _LIBRARY_ENCODERS[path]
+
+
 def encode_decode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode each whole text, decode its ids, and return the digests of both.
 

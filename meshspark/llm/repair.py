@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encoder
+from .bpe import library_encoder
 from .common import with_running_sum, written
 
 MAGIC = b"RPG1"
@@ -31,56 +31,62 @@ SLOTS = 1 << 18
 SHARDS = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("blob", T.BinaryType())])
 
 
-def frequent_pairs(keys: np.ndarray, limit: int, least: int) -> np.ndarray:
-    """Up to ``limit`` pair keys seen at least ``least`` times, most frequent first; counted in hashed slots, then exactly."""
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-    count = np.bincount(slot, minlength=SLOTS)
-    holder = np.zeros(SLOTS, np.uint64)
-    holder[slot] = keys  # some pair of each slot
-    exact = np.bincount(slot[holder[slot] == keys], minlength=SLOTS)
-    best = np.flatnonzero((exact >= least) & (count > 0))
-    best = best[np.argsort(-exact[best], kind="stable")][:limit]
-    return holder[best]
+def pair_slots(keys: np.ndarray) -> np.ndarray:
+    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.intp)
 
 
-def compress(seq: np.ndarray, doc_of: np.ndarray, base: int, rounds: int = 4, rules_per_round: int = 4096, least: int = 8):
-    """Re-Pair: ``seq`` as symbols, the document of each symbol, and rules (left, right)."""
+def compress(seq: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, rules_per_round: int = 4096, least: int = 8):
+    """Re-Pair: ``seq`` as symbols, where each document ends in it, and rules (left, right).
+
+    A round hashes the pairs inside documents to slots, each of which counts one of its pairs exactly;
+    the most frequent of these become rules.
+    """
     seq, left, right = seq.astype(np.uint32), [], []
     made = 0
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = doc_of[:-1] == doc_of[1:]
-        chosen = frequent_pairs(keys[inside], rules_per_round, least)
-        if not len(chosen):
+        keys = seq[:-1].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= seq[1:]
+        slot = pair_slots(keys)
+        slot[ends[(ends > 0) & (ends < len(seq))] - 1] = SLOTS  # of pairs over a document's end
+        holder = np.zeros(SLOTS + 1, np.uint64)
+        holder[slot] = keys  # some pair of each slot
+        held = np.flatnonzero(holder[slot] == keys)
+        at = slot[held]
+        count = np.bincount(at, minlength=SLOTS + 1)[:SLOTS]
+        best = np.flatnonzero(count >= least)
+        best = best[np.argsort(-count[best], kind="stable")][:rules_per_round]
+        if not len(best):
             break
-        slot = lambda k: ((k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-        rule, holder = np.zeros(SLOTS, np.uint32), np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-        rule[slot(chosen)] = base + made + np.arange(len(chosen), dtype=np.uint32)
-        holder[slot(chosen)] = chosen
-        at = slot(keys)
-        hit = np.flatnonzero((holder[at] == keys) & inside)
+        rule = np.zeros(SLOTS + 1, np.uint32)
+        rule[best] = base + made + np.arange(len(best), dtype=np.uint32)
+        symbol = rule[at]
+        ruled = np.flatnonzero(symbol)
+        hit, symbol = held[ruled], symbol[ruled]
         # of overlapping hits in a row, every other one from the first is replaced
         run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) > 1, np.arange(len(hit)), 0))
-        hit = hit[(np.arange(len(hit)) - run) % 2 == 0]
-        seq[hit] = rule[at[hit]]
+        first = (np.arange(len(hit)) - run) % 2 == 0
+        hit = hit[first]
+        seq[hit] = symbol[first]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
-        seq, doc_of = seq[keep], doc_of[keep]
+        seq, ends = seq[keep], ends - np.searchsorted(hit, ends)
+        chosen = holder[best]
         left.append((chosen >> np.uint64(32)).astype(np.uint32))
         right.append((chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        made += len(chosen)
+        made += len(best)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
-    return seq, doc_of, cat(left), cat(right)
+    return seq, ends, cat(left), cat(right)
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
     """Tokens of each rule; a rule's parts are tokens or earlier rules."""
-    n = np.ones(len(left), np.uint32)
-    for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
-        n[k] = (n[a - base] if a >= base else 1) + (n[b - base] if b >= base else 1)
-    return n
+    n: list[int] = []
+    for a, b in zip(left.tolist(), right.tolist()):
+        n.append((n[a - base] if a >= base else 1) + (n[b - base] if b >= base else 1))
+    return np.array(n, np.uint32)
 
 
 def expanded_rules(left, right, lengths, base):
@@ -105,9 +111,8 @@ def pack(ids: list, seqs: list[bytes], rounds: int) -> bytes:
     lengths = np.array([len(s) // 4 for s in seqs], np.uint32)
     seq = np.frombuffer(b"".join(seqs), "<u4")
     base = int(seq.max(initial=0)) + 1
-    docs = np.repeat(np.arange(len(seqs), dtype=np.int32), lengths)
-    sym, docs, left, right = compress(seq, docs, base, rounds)
-    n_sym = np.bincount(docs, minlength=len(seqs)).astype(np.uint32)
+    sym, ends, left, right = compress(seq, np.cumsum(lengths, dtype=np.int64), base, rounds)
+    n_sym = np.diff(ends, prepend=0).astype(np.uint32)
     null = np.array([i is None for i in ids], np.uint8)
     own = np.array([0 if i is None else i for i in ids], np.int64)
     head = MAGIC + struct.pack("<4I", len(ids), len(left), len(sym), base)
@@ -158,7 +163,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
     def work(batches):
         import pyarrow as pa
 
-        enc = encoder(path)
+        enc = library_encoder(path)
         end = end_id.to_bytes(4, "little")
         part, seq, ids, seqs, size = None, 0, [], [], 0
 
