@@ -139,18 +139,33 @@ class Shard:
         self.symbols = take("<u4", symbols)
         self.offset = np.concatenate([[0], np.cumsum(n_sym, dtype=np.int64)])
         flat, self.start = expanded_rules(left, right, self.rule_lengths, self.base)
-        self.flat = np.concatenate([flat, np.zeros(1, np.uint32)])
+        self.flat = flat
 
     def tokens(self, i: int) -> np.ndarray:
-        s = self.symbols[self.offset[i] : self.offset[i + 1]]
+        return self.stretch(i, i + 1)
+
+    def stretch(self, i: int, j: int) -> np.ndarray:
+        """Tokens of documents i to j - 1, expanded from their symbols alone."""
+        s = self.symbols[self.offset[i] : self.offset[j]]
         ruled = s >= self.base
-        if not ruled.any():
+        at = np.flatnonzero(ruled)
+        if not len(at):
             return s
-        k = np.where(ruled, s - self.base, 0).astype(np.int64)
-        n = np.where(ruled, self.rule_lengths[np.minimum(k, len(self.rule_lengths) - 1)], 1).astype(np.int64)
+        k = s[at] - self.base
+        n = np.ones(len(s), np.int64)
+        n[at] = self.rule_lengths[k]
         end = np.cumsum(n)
-        inside = np.arange(end[-1]) - np.repeat(end - n, n)
-        return np.where(np.repeat(ruled, n), self.flat[np.minimum(np.repeat(self.start[k], n) + inside, len(self.flat) - 1)], np.repeat(s, n))
+        source = np.arange(len(self.flat), len(self.flat) + len(s))  # a token stands for itself, behind the rules' expansions
+        source[at] = self.start[k]
+        return np.concatenate([self.flat, s])[np.repeat(source - (end - n), n) + np.arange(end[-1])]
+
+    def stretches(self, most: int = 1 << 16):
+        """(i, j, tokens) for consecutive stretches of about ``most`` tokens that cover all documents."""
+        upto, i = np.cumsum(self.lengths, dtype=np.int64), 0
+        while i < len(upto):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, side="right")))
+            yield i, j, self.stretch(i, j)
+            i = j
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int = 2_000_000, rounds: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,8 +220,10 @@ def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
         for b in batches:
             for part, seq, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 s = Shard(blob.as_py())
-                crc = [zlib.crc32(s.tokens(i).astype("<u4").tobytes()) for i in range(len(s.ids))]
-                n = s.lengths.astype(np.int64)
+                n, crc = s.lengths.astype(np.int64), []
+                for i, j, tokens in s.stretches():
+                    ends = np.cumsum(n[i:j])
+                    crc += [zlib.crc32(tokens[a:b]) for a, b in zip((ends - n[i:j]).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids, mask=s.null.astype(bool)), pa.array(np.cumsum(n) - n), pa.array(n), pa.array(crc, pa.int64()), pa.array([part] * len(n)), pa.array([seq] * len(n))], [id_col, "_at", "n_tokens", "ids_crc32", "part", "seq"])
 
     schema = f"{id_col} long, _at long, n_tokens long, ids_crc32 long, part long, seq long"
