@@ -4,8 +4,10 @@
     digest of its words; texts with the same words form one class, joined on through its smallest id.
 2.  In each of several independent trees, a document descends along the minwise tokens that its node
     selects; nodes of one document end, small nodes are compared exhaustively on signatures, large
-    ones branch again.  Pairs whose signatures agree far below the threshold (five standard
-    deviations) are left out; the rest tie documents into clusters.
+    ones branch again.  A node that is still large at the last level is dealt in blocks: first inside
+    blocks, then every document outside the node's largest cluster against all blocks, so no pair of
+    different clusters goes unseen.  Pairs whose signatures agree far below the threshold (five
+    standard deviations) are left out; the rest tie documents into clusters.
 3.  Within each cluster, links are confirmed on the full shingle sets.  Pairs that are already
     connected are not compared again.  Clusters larger than a block are dealt in blocks: first inside
     blocks, then against the blocks' most central members, and then every document outside the
@@ -162,7 +164,10 @@ def _agreement(sig: np.ndarray) -> np.ndarray:
 
 
 def node_edges(rows: DataFrame, least: int) -> DataFrame:
-    """(a, b) tying the documents of each block (columns block, id, sig) whose signatures agree in ``least`` coordinates."""
+    """(a, b) tying the documents of each block (columns block, id, guest, sig) whose signatures agree in ``least`` coordinates.
+
+    Guests are compared with the block's own documents, not among themselves.
+    """
 
     def work(batches):
         import pyarrow as pa
@@ -173,9 +178,13 @@ def node_edges(rows: DataFrame, least: int) -> DataFrame:
             if len(ids) < 2:
                 continue
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            guest = t.column("guest").to_numpy(zero_copy_only=False)
             sets = _Sets(len(ids))
             for i in range(len(ids) - 1):
-                for j in (np.flatnonzero((sig[i + 1 :] == sig[i]).sum(axis=1) >= least) + i + 1).tolist():
+                close = (sig[i + 1 :] == sig[i]).sum(axis=1) >= least
+                if guest[i]:
+                    close &= ~guest[i + 1 :]
+                for j in (np.flatnonzero(close) + i + 1).tolist():
                     if sets.join(i, j):
                         out.append((int(ids[i]), int(ids[j])))
             if len(out) > 20_000:
@@ -183,7 +192,7 @@ def node_edges(rows: DataFrame, least: int) -> DataFrame:
                 out = []
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return rows.repartition("block").sortWithinPartitions("block").select("block", "id", "sig").mapInArrow(work, "a long, b long")
+    return rows.repartition("block").sortWithinPartitions("block").select("block", "id", "guest", "sig").mapInArrow(work, "a long, b long")
 
 
 def clusters(reps: DataFrame, least: int) -> DataFrame:
@@ -199,12 +208,32 @@ def clusters(reps: DataFrame, least: int) -> DataFrame:
             break
         rows, depth = _branches(large.select("node", "id").join(reps.select("id", "sig"), "id").select("node", "id", "sig"), 1, TREES), depth + 1
     # large nodes at the last level: blocks, each with the node's head among its members
-    dealt = large.select(F.xxhash64("node", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))).alias("block"), "id", "head")
+    part = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / BLOCK))
+    dealt = large.select(F.xxhash64("node", part).alias("block"), "id", "head")
     small += [dealt.select("block", "id"), dealt.filter("id <> head").select("block", F.col("head").alias("id")).distinct()]
     nodes = small[0]
     for x in small[1:]:
         nodes = nodes.unionByName(x)
-    return components(node_edges(nodes.join(reps.select("id", "sig"), "id"), least))
+    sigs = reps.select("id", "sig")
+    tied = components(node_edges(nodes.join(sigs, "id").withColumn("guest", F.lit(False)), least))
+    split = large.filter(f"size > {BLOCK}").select("node", "id", "size")
+    if split.isEmpty():
+        return tied
+    # whatever is outside the largest cluster of a node that was dealt in blocks meets all its blocks, in chunks
+    placed = split.join(tied, "id", "left").select("node", "id", part.alias("part"), F.ceil(F.col("size") / BLOCK).alias("parts"), F.coalesce("root", "id").alias("cluster"))
+    placed = written(placed, "dealt-nodes")
+    main = placed.groupBy("node", "cluster").agg(F.count(F.lit(1)).alias("n")).groupBy("node").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("main"))
+    rest = placed.join(main, "node").filter("cluster <> main")
+    lefts = rest.groupBy("node").agg(F.count(F.lit(1)).alias("left"))
+    rest = written(rest.join(lefts, "node").withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(1)), F.ceil(F.col("left") / BLOCK))), "untied")
+    if rest.isEmpty():
+        return tied
+    home = F.xxhash64("node", "part", "chunk").alias("block")
+    guests = rest.select("node", "id", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    hosts = placed.join(rest.select("node", "chunk").distinct(), "node")
+    meet = guests.select(home, "id", F.lit(True).alias("guest")).unionByName(hosts.select(home, "id", F.lit(False).alias("guest")))
+    across = node_edges(meet.join(sigs, "id"), least)
+    return components(tied.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(across))
 
 
 def verified_links(rows: DataFrame, percent: int, least: int) -> DataFrame:

@@ -230,6 +230,23 @@ def test_large_clusters_lose_no_link(spark, monkeypatch):
     assert got == brute_classes(pairs)
 
 
+def test_large_nodes_lose_no_link(spark, monkeypatch):
+    """Signatures that all share 35 coordinates, and pairs that share 6 more: nodes dealt in blocks must still tie each pair."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(4)
+    common, kept = rng.integers(0, 1 << 32, 64, dtype=np.uint32), rng.permutation(64)
+    sigs = []
+    for i in range(150):
+        a, b = rng.integers(0, 1 << 32, (2, 64), dtype=np.uint32)
+        a[kept[:35]] = b[kept[:35]] = common[kept[:35]]
+        own = rng.choice(kept[35:], 6, replace=False)
+        b[own] = a[own]
+        sigs += [(2 * i, bytearray(a.tobytes())), (2 * i + 1, bytearray(b.tobytes()))]
+    reps = spark.createDataFrame(sigs, "id long, sig binary")
+    got = sorted((r["id"], r["root"]) for r in rows(near_dedup.clusters(reps, 40)))
+    assert got == [(2 * i + 1, 2 * i) for i in range(150)]
+
+
 # 6: quality
 
 
