@@ -222,13 +222,21 @@ class LibraryEncoder(Encoder):
 
         self.model = Tokenizer.from_file(path).model
         self.letter = {b: c for c, b in byte_letters().items()}
+        self.space = self.letter[ord(" ")]
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(257)]
         super().__init__(vocabulary(path))
 
     def _pretoken(self, s: str) -> bytes:
-        if len(s) > 256:
+        if len(s) > 64:
             return super()._pretoken(s)
         tokens = self.model.tokenize(s.encode("utf-8").decode("latin-1").translate(self.letter))
-        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
+        return self.packs[len(tokens)](*[t.id for t in tokens])
+
+    def _spaced(self, s: str) -> bytes:
+        if s.isascii() and s.isalpha() and len(s) <= 64:  # ASCII letters stand for themselves
+            tokens = self.model.tokenize(self.space + s)
+            return self.packs[len(tokens)](*[t.id for t in tokens])
+        return super()._spaced(s)
 
 
 class Decoder:
