@@ -28,6 +28,7 @@ from .common import blocks, written
 SAMPLE, LEAF, LEAVES = 16_384, 160, 4096
 BRANCH = 8
 BLOCK = 4096
+HELD = 400_000  # rows (query, id, score) that a task merges at a time
 CALIBRATION = 128
 
 
@@ -122,6 +123,17 @@ def best(q_ids, q, ids, x, k):
             yield int(q_ids[i]), int(ids[near[j]]), float(exact[j])
 
 
+def merged(rows: list, k: int) -> list:
+    """Each query's ``k`` best of (query, id, score), ties to smaller ids."""
+    if not rows:
+        return rows
+    q, i, s = (np.array(c) for c in zip(*rows))
+    order = np.lexsort((i, -s, q))
+    first = np.flatnonzero(np.diff(q[order], prepend=q[order[0]] - 1))
+    place = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
+    return [rows[j] for j in order[place < k]]
+
+
 def _batch(rows):
     import pyarrow as pa
 
@@ -199,13 +211,20 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = 0.9
     rows = rows.unionByName(wanted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "leaf", "id", "v").select(F.xxhash64("leaf", "part").alias("block"), F.lit(1).alias("is_query"), "id", "v"))
 
     def meet(batches):
+        held: list = []
         for t in blocks(batches, "block"):
             ids, x, asks = t.column("id").to_numpy(), matrix(t.column("v")), t.column("is_query").to_numpy() == 1
             if not asks.any() or asks.all():
                 continue
             qi, qx, ci, cx = ids[asks], x[asks], ids[~asks], x[~asks]
             for i in range(0, len(qi), 512):
-                yield _batch(list(best(qi[i : i + 512], qx[i : i + 512], ci, cx, k)))
+                held += best(qi[i : i + 512], qx[i : i + 512], ci, cx, k)
+            if len(held) > HELD:  # what a query finds in the blocks of one task is merged, so a task returns k rows a query
+                held = merged(held, k)
+                if 2 * len(held) > HELD:
+                    yield _batch(held)
+                    held = []
+        yield _batch(merged(held, k))
 
     met = rows.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "query_id long, id long, score double")
     return top(met, k).select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
