@@ -249,10 +249,12 @@ def verified_links(rows: DataFrame, percent: int, least: int) -> DataFrame:
 
         family = hash_family()
         for t in blocks(batches, "block"):
-            ids, first = np.unique(t.column("id").to_numpy(), return_index=True)
+            # a document may be member and guest of a block at once: the member's row stays
+            order = np.argsort(t.column("guest").to_numpy(zero_copy_only=False), kind="stable")
+            ids, first = np.unique(t.column("id").to_numpy()[order], return_index=True)
             if len(ids) < 2:
                 continue
-            t = t.take(pa.array(first))
+            t = t.take(pa.array(order[first]))
             sets_ = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
             guest, comp = t.column("guest").to_numpy(zero_copy_only=False), t.column("comp").to_pylist()
             n = np.array([len(s) for s in sets_])

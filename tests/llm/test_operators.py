@@ -247,6 +247,18 @@ def test_large_nodes_lose_no_link(spark, monkeypatch):
     assert got == [(2 * i + 1, 2 * i) for i in range(150)]
 
 
+def test_a_member_stays_member_where_it_is_also_guest(spark):
+    """Two unconnected near copies of different parts, each guest of both blocks, with the guest rows first in the union."""
+    sets = {k: np.arange(100 if k < 3 else 300, dtype=np.uint64) + np.uint64(k if k < 3 else 10_000 * k) for k in (1, 2, 3, 4)}
+    schema = "block long, id long, comp long, guest boolean, shingles binary"
+    row = lambda block, k, guest: (block, k, k, guest, bytearray(sets[k].tobytes()))
+    guests = spark.createDataFrame([row(b, k, True) for b in (1, 2) for k in (1, 2)], schema).coalesce(1)
+    hosts = spark.createDataFrame([row(1, 1, False), row(1, 3, False), row(2, 2, False), row(2, 4, False)], schema).coalesce(1)
+    for union in (guests.unionByName(hosts), hosts.unionByName(guests)):
+        links = {(r["a"], r["b"]) for r in rows(near_dedup.verified_links(union.coalesce(1), 85, 30)) if r["a"] != r["b"]}
+        assert links == {(1, 2)}
+
+
 # 6: quality
 
 
