@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import PreparedMesh
-from ..sources.tables import cut
+from ..sources.tables import cut, removed
 
 #: Entries of an operator that may be broadcast (about 24 bytes each).
 LOCAL_ENTRIES = 4_000_000
@@ -90,7 +90,7 @@ def solve_one(m: Csr, area, d, phi, order: int, symmetric: bool, tol: float = TO
     raise SolverNotConvergedError(f"no convergence in {most} iterations")
 
 
-def local_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, scale: DataFrame | None = None) -> DataFrame:
+def local_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, scale: DataFrame | None = None, tol: float = TOLERANCE, most: int = MAX_ITERATIONS) -> DataFrame:
     """``fields`` is (keys, node_id, value, k); one task solves one right-hand side."""
     spark = fields.sparkSession
     node = mesh.node.select("node_id", "area").orderBy("node_id").toArrow()  # bounded: see ``solve``
@@ -107,7 +107,7 @@ def local_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: i
         phi, d = np.empty(len(at)), np.empty(len(at))
         phi[at], d[at] = pdf["value"].to_numpy(), 1 / pdf["k"].to_numpy() ** 2
         try:
-            out = solve_one(m, area, d, phi, order, symmetric)
+            out = solve_one(m, area, d, phi, order, symmetric, tol, most)
         except SolverNotConvergedError as e:
             raise SolverNotConvergedError(f"{dict(pdf[keys].iloc[0])}: {e}") from e
         return pdf.assign(filtered=out[at])
@@ -116,16 +116,29 @@ def local_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: i
     return fields.groupBy(*keys).applyInPandas(work, schema)
 
 
-def distributed_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, tol: float = 1e-8, most: int = 500) -> DataFrame:
+def _check_cover(mesh: PreparedMesh, fields: DataFrame, keys: list[str]) -> None:
+    """Every field has a value on each of the mesh's nodes, once, and on no other node, as in the local tier."""
+    n = mesh.node.count()
+    at = fields.groupBy(*keys, "node_id").agg(F.count(F.lit(1)).alias("n")).join(mesh.node.select("node_id", F.lit(1).alias("known")), "node_id", "left")
+    bad = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("nodes"), F.count("known").alias("known"), F.max("n").alias("n")).filter((F.col("nodes") != n) | (F.col("known") != n) | (F.col("n") > 1)).first()
+    if bad:
+        raise ValueError(f"field { {k: bad[k] for k in keys} } does not cover the mesh's nodes once each")
+
+
+def distributed_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, tol: float = TOLERANCE, most: int = MAX_ITERATIONS) -> DataFrame:
     """The same by conjugate gradients over DataFrames; needs a symmetric area-weighted operator.
 
-    Each iteration is ``order`` joins with the operator and two small aggregates; state is cut to the
-    shared folder, and right-hand sides that have converged stop moving.
+    Tolerance, iteration limit, preconditioner and coverage are the local tier's.  Each iteration is
+    ``order`` joins with the operator and two small aggregates; state is cut to the shared folder, past
+    states are removed from it, and right-hand sides that have converged stop moving.
     """
     if not mesh.symmetric:
         raise ValueError("conjugate gradients need a symmetric area-weighted operator")
+    _check_cover(mesh, fields, keys)
     op = cut(mesh.operator.select("i", "j", "s").repartition("j"), "operator")
-    base = fields.join(mesh.node.select("node_id", "area"), "node_id").withColumn("w", F.sqrt("area") / F.col("k"))
+    diag = op.filter("i = j").groupBy(F.col("i").alias("node_id")).agg(F.sum("s").alias("_diag"))
+    pre = 1 + 2 * F.pow(F.coalesce("_diag", F.lit(0.0)) / (F.col("k") * F.col("k")), F.lit(order))
+    base = fields.join(mesh.node.select("node_id", "area"), "node_id").join(diag, "node_id", "left").withColumn("pre", pre).drop("_diag").withColumn("w", F.sqrt("area") / F.col("k"))
     on = [*keys, "node_id"]
 
     def lap(df, c):
@@ -137,22 +150,33 @@ def distributed_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], or
             cur = cur.select(*on, "k").join(s, on, "left").withColumn("y", F.coalesce("_s", F.lit(0.0))).drop("_s")
         return cur.select(*on, "y")
 
-    start = base.join(lap(base.withColumn("_v", F.col("value")), "_v"), on).withColumn("r", -2 * F.col("w") * F.col("y")).drop("y")
-    state = cut(start.withColumn("x", F.lit(0.0)).withColumn("p", F.col("r")), "cg")
-    goal = {tuple(r[k] for k in keys): r["rr"] * tol * tol for r in state.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("rr")).collect()}
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+    start = cut(base.join(lap(base.withColumn("_v", F.col("value")), "_v"), on).withColumn("r", -2 * F.col("w") * F.col("y")).drop("y"), "cg")
+    sizes = start.groupBy(*keys).agg(dot("r", "r").alias("rr"))
+    goal = {tuple(r[k] for k in keys): r["rr"] * tol * tol for r in sizes.collect()}
     rr = {k: v / (tol * tol) if tol else v for k, v in goal.items()}
-    for _ in range(most):
+    limits = sizes.select(*keys, (F.col("rr") * tol * tol).alias("goal"))
+    state = cut(start.join(F.broadcast(limits), keys).withColumn("x", F.lit(0.0)).withColumn("p", F.col("r") / F.col("pre")), "cg")  # one row for each field
+    removed(start)
+    for step in range(most + 1):
         open_ = [k for k in goal if rr[k] > goal[k] and rr[k] > 0]
         if not open_:
             return state.select(*fields.columns, (F.col("value") + F.col("x") / F.col("w")).alias("filtered"))
+        if step == most:
+            break
         pv = state.withColumn("_v", F.col("p") / F.col("w"))
         q = cut(state.join(lap(pv, "_v"), on).withColumn("q", F.col("p") + 2 * F.col("w") * F.col("y")).drop("y"), "cg")
-        small = q.groupBy(*keys).agg((F.sum(F.col("r") * F.col("r")) / F.sum(F.col("p") * F.col("q"))).alias("a"), F.sum(F.col("r") * F.col("r")).alias("rr"))
-        moved = q.join(F.broadcast(small), keys).withColumn("a", F.coalesce("a", F.lit(0.0)))  # one row for each field
+        small = q.withColumn("z", F.col("r") / F.col("pre")).groupBy(*keys).agg(dot("r", "z").alias("rz"), dot("p", "q").alias("pq"), (dot("r", "r") > F.first("goal")).alias("moves"))
+        small = small.select(*keys, "rz", F.when(F.col("moves") & (F.col("pq") > 0), F.col("rz") / F.col("pq")).otherwise(F.lit(0.0)).alias("a"))
+        moved = q.join(F.broadcast(small), keys)  # one row for each field
         moved = cut(moved.withColumn("x", F.col("x") + F.col("a") * F.col("p")).withColumn("r", F.col("r") - F.col("a") * F.col("q")), "cg")
-        fresh = moved.groupBy(*keys).agg(F.sum(F.col("r") * F.col("r")).alias("new"))
-        state = cut(moved.join(F.broadcast(fresh), keys).withColumn("p", F.col("r") + F.when(F.col("rr") > 0, F.col("new") / F.col("rr")).otherwise(F.lit(0.0)) * F.col("p")).drop("a", "q", "rr", "new"), "cg")
-        rr = {tuple(r[k] for k in keys): r["new"] for r in fresh.collect()}
+        fresh = moved.withColumn("z", F.col("r") / F.col("pre")).groupBy(*keys).agg(dot("r", "z").alias("new"), dot("r", "r").alias("rr"))
+        rr = {tuple(r[k] for k in keys): r["rr"] for r in fresh.collect()}
+        turn = F.when(F.col("rz") > 0, F.col("new") / F.col("rz")).otherwise(F.lit(0.0))
+        after = cut(moved.join(F.broadcast(fresh.drop("rr")), keys).withColumn("p", F.col("r") / F.col("pre") + turn * F.col("p")).drop("a", "q", "rz", "new"), "cg")
+        for past in (state, q, moved):
+            removed(past)
+        state = after
     raise SolverNotConvergedError(f"no convergence in {most} iterations: {open_[:3]}")
 
 
@@ -173,13 +197,13 @@ def spectral_solve(cells: DataFrame, fields: DataFrame, keys: list[str], nx: int
     return out.withColumnRenamed("value", "filtered")
 
 
-def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, solver: str = "auto") -> DataFrame:
+def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, solver: str = "auto", tol: float = TOLERANCE, most: int = MAX_ITERATIONS) -> DataFrame:
     if order < 1:
         raise ValueError("the order must be at least 1")
     if solver == "auto":
         solver = "local" if mesh.operator.count() <= LOCAL_ENTRIES else "distributed"
     if solver == "local":
-        return local_solve(mesh, fields, keys, order)
+        return local_solve(mesh, fields, keys, order, tol=tol, most=most)
     if solver == "distributed":
-        return distributed_solve(mesh, fields, keys, order)
+        return distributed_solve(mesh, fields, keys, order, tol, most)
     raise NotImplementedError(f"solver {solver!r}")
