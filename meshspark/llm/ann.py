@@ -5,7 +5,8 @@ table is put into the leaf that it descends to, in blocks of bounded size.  A qu
 best bin first through a priority queue (a node's bound is its centre's product with the query plus
 the query's length times the node's radius share), and scores the vectors of the leaves it visits in
 double precision.  How many leaves are visited is widened until the recall of calibration queries,
-measured against all vectors, reaches the target.
+measured against all vectors, reaches the target; a query whose leaves hold fewer than k others goes
+on down its queue until they do.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; ties go to the smaller id; fewer candidates than k give fewer
@@ -88,17 +89,19 @@ class Tree:
             todo += [(int(kids[j]), at[of == j]) for j in range(len(kids))]
         return out
 
-    def visits(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, q: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and further ones until they hold ``least`` of the ``held`` vectors."""
         bound = self.centre @ q + 0.5 * float(np.sqrt(q @ q)) * self.radius
-        heap, out = [(-bound[0], 0)], []
-        while heap and len(out) < most:
+        heap, out, have = [(-bound[0], 0)], [], least if held is None else 0
+        while heap and (len(out) < most or have < least):
             _, node = heapq.heappop(heap)
             if self.kids[node]:
                 for k in self.kids[node]:
                     heapq.heappush(heap, (-bound[k], k))
             else:
                 out.append(self.leaf[node])
+                if held is not None:
+                    have += int(held[self.leaf[node]])
         return out
 
 
@@ -200,14 +203,19 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = 0.9
 
         for b in batches:
             x = matrix(b.column(1))
-            leaves = [shared.value.visits(v, visits) for v in x]
+            leaves = [shared.value.visits(v, visits, held_by, k + own) for v, own in zip(x, b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
 
-    size = placed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
-    size = written(size, "leaf-sizes")
-    tall = written(placed, "placed").join(F.broadcast(size), "leaf")  # one row for each leaf
+    placed = written(placed, "placed")
+    size = written(placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")), "leaf-sizes")
+    held_by = np.zeros(tree.n_leaves, np.int64)
+    for row in size.collect():  # one row for each leaf
+        held_by[row["leaf"]] = row["n"]
+    tall = placed.join(F.broadcast(size.drop("n")), "leaf")  # one row for each leaf
     rows = tall.select(F.xxhash64("leaf", F.pmod(F.xxhash64("id"), "parts")).alias("block"), F.lit(0).alias("is_query"), "id", "v")
-    wanted = asked.mapInArrow(ask, "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(size), "leaf")
+    # a query's own rows (several if its id is repeated) are no candidates
+    own_rows = asked.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    wanted = asked.join(own_rows, "id").select("id", "v", "own").mapInArrow(ask, "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(size.drop("n")), "leaf")
     rows = rows.unionByName(wanted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "leaf", "id", "v").select(F.xxhash64("leaf", "part").alias("block"), F.lit(1).alias("is_query"), "id", "v"))
 
     def meet(batches):

@@ -354,6 +354,21 @@ def test_neighbours(spark):
     assert ann.search(df.filter("vec_id > 3000 and vec_id < 3005")).count() == 0
 
 
+def test_queries_near_outliers_get_all_their_rows(spark, monkeypatch):
+    """Small leaves and a low target, so calibration visits few: every query still finds k neighbours."""
+    monkeypatch.setattr(ann, "LEAF", 20)
+    rng = np.random.default_rng(7)
+    x = np.repeat(10 * np.eye(16)[:8], 200, axis=0) + 0.05 * rng.normal(size=(1600, 16))
+    x = np.concatenate([x, 100 * np.eye(16)[[15, 15, 15]] + 0.01 * rng.normal(size=(3, 16))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(40, x[40].tolist())] * 30, "vec_id long, embedding array<double>")
+    found = Counter(r["query_id"] for r in rows(ann.search(df, target=0.01)))
+    assert found == dict.fromkeys(range(0, 1603, 20), 20)
+    tree = ann.Tree(x, 10)
+    held = np.bincount(tree.assign(x), minlength=tree.n_leaves)
+    assert held[tree.visits(x[1600], 1)].sum() == 3 and held[tree.visits(x[1600], 1, held, 21)].sum() >= 21
+    assert sorted(tree.visits(x[0], 1, held, 10**9)) == list(range(tree.n_leaves))
+
+
 # 9: toxicity
 
 
