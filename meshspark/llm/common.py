@@ -32,6 +32,21 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` joined with ``groups``, a table of one row for each key that counts the key's rows in ``n``.
+
+    Keys with over a 2000th of all counted rows (so at most 2000 keys) go to their rows by broadcast;
+    the rows of all other keys meet theirs in a shuffle, where no key can fill a task.
+    """
+    total, most = groups.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    limit = max(256, total // 2000)
+    if most <= limit:
+        return rows.join(groups, keys)
+    hot = groups.filter(F.col(n) > limit)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(groups.filter(F.col(n) <= limit), keys))
+
+
 def crc_remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n

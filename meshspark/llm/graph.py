@@ -5,31 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import with_groups, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for every id with an edge other than the root itself; ``edges`` has columns a and b.
 
     Every round moves neighbours to the smallest id seen; edges stay a table of the shared folder and
-    are never collected.  A node's neighbours are never gathered in one row or task.
+    are never collected.  Minima are pre-aggregated, and those of nodes with very many neighbours go
+    to the edges instead of the edges to them, so no task gets all neighbours of a node.
     """
     e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    print_ = lambda d: tuple(d.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.xxhash64("u", "v") % 1_000_003)), F.lit(0))).first())
-    was = print_(e)
+    if e.isEmpty():
+        return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    lowest = lambda d: d.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
     for _ in range(rounds):
-        if not was[0]:
-            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = lowest(both).withColumn("m", F.least("u", "m"))
+        large = written(with_groups(both, least, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        low = lowest(large)
+        small = with_groups(large, low, ["u"], "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = print_(e)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        # settled: every node has one edge, to one that has none
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s"))
+        if ends.groupBy("s.x").agg(F.sum("s.up").alias("up"), F.sum("s.down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")

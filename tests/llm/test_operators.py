@@ -230,21 +230,80 @@ def test_large_clusters_lose_no_link(spark, monkeypatch):
     assert got == brute_classes(pairs)
 
 
-def test_large_nodes_lose_no_link(spark, monkeypatch):
-    """Signatures that all share 35 coordinates, and pairs that share 6 more: nodes dealt in blocks must still tie each pair."""
+def alike(n, seed=4, links=True):
+    """Texts that share about 0.6 of their shingles with every other one, and a near copy of every fourth."""
+    rng = np.random.default_rng(seed)
+    parts = [" ".join(f"w{k}_{j}" for j in range(14)) for k in range(70)]
+    texts = []
+    for i in range(n):
+        own = [p for p, keep in zip(parts, rng.random(70) < 0.82) if keep]
+        texts.append(" ".join(own))
+        if links and i % 4 == 0:
+            w = " ".join(own).split()
+            w[int(rng.integers(len(w)))] = f"x{i}"
+            w[int(rng.integers(len(w)))] = f"y{i}"
+            texts.append(" ".join(w))
+    order = rng.permutation(len(texts))
+    return [(int(i), texts[k]) for i, k in enumerate(order)]
+
+
+def test_documents_that_are_all_alike_lose_no_link(spark, monkeypatch):
+    """Signatures tie all of them, full sets few: clusters must descend again."""
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
-    rng = np.random.default_rng(4)
-    common, kept = rng.integers(0, 1 << 32, 64, dtype=np.uint32), rng.permutation(64)
-    sigs = []
-    for i in range(150):
-        a, b = rng.integers(0, 1 << 32, (2, 64), dtype=np.uint32)
-        a[kept[:35]] = b[kept[:35]] = common[kept[:35]]
-        own = rng.choice(kept[35:], 6, replace=False)
-        b[own] = a[own]
-        sigs += [(2 * i, bytearray(a.tobytes())), (2 * i + 1, bytearray(b.tobytes()))]
-    reps = spark.createDataFrame(sigs, "id long, sig binary")
-    got = sorted((r["id"], r["root"]) for r in rows(near_dedup.clusters(reps, 40)))
-    assert got == [(2 * i + 1, 2 * i) for i in range(150)]
+    monkeypatch.setattr(near_dedup, "NODE", 8)
+    pairs = alike(200)
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows(near_dedup.near_duplicates(df))} == brute_classes(pairs)
+
+
+def test_rows_compared_grow_with_the_documents(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 32)
+    monkeypatch.setattr(near_dedup, "NODE", 8)
+    plain_links, seen = near_dedup.verified_links, []
+
+    def counted(rows, *how):
+        seen.append(rows.count())
+        return plain_links(rows, *how)
+
+    monkeypatch.setattr(near_dedup, "verified_links", counted)
+    made = []
+    for n in (250, 1000):
+        seen.clear()
+        near_dedup.near_duplicates(spark.createDataFrame(alike(n, links=False), "doc_id long, text string").repartition(4)).count()
+        made.append(sum(seen))
+    assert made[1] < 10 * made[0]  # four times the documents, alike at 0.7: 4 ** 1.45 expected, all pairs would be sixteen times the rows
+
+
+def test_trees_reach_the_recall(spark):
+    """The share of pairs at the threshold that meet on a last level is what ``missed`` says."""
+    assert near_dedup.missed(0.85, (2,)) == pytest.approx(0.15**2)
+    assert near_dedup.missed(0.85, near_dedup.SEEK) ** near_dedup.trees_for(near_dedup.RECALL, 0.85, near_dedup.SEEK) < 1 - near_dedup.RECALL
+    rng = np.random.default_rng(8)
+    trees, met = 2, 0
+    family = near_dedup.hash_family(trees * 16)
+    sets = []
+    for _ in range(600):
+        common, a, b = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (170, 15, 15))  # 170 of 200: 0.85
+        sets += [np.concatenate([common, a]), np.concatenate([common, b])]
+    reps = spark.createDataFrame([(i, bytearray(near_dedup.signature(x, family).tobytes())) for i, x in enumerate(sets)], "id long, sig binary")
+    last = {}
+    for r in rows(near_dedup.paths(reps, trees)):
+        last.setdefault(r["id"], set()).add(r["last"])
+    met = sum(bool(last[2 * k] & last[2 * k + 1]) for k in range(600))
+    assert met / 600 == pytest.approx(1 - near_dedup.missed(0.85, near_dedup.SEEK) ** trees, abs=0.02)
+    root = np.array([5], np.uint64)
+    met = np.mean([len(np.intersect1d(near_dedup.deeper(root, a, near_dedup.DEEP), near_dedup.deeper(root, b, near_dedup.DEEP))) > 0 for a, b in zip(sets[::2], sets[1::2])])
+    assert met == pytest.approx(1 - near_dedup.missed(0.85, near_dedup.DEEP), abs=0.06)
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    """Text ids, a repeated id with two texts, clashing column names."""
+    base = " ".join(f"w{k}" for k in range(60))
+    data = [("b", base, 1, 2), ("a", base + " end", 3, 4), ("c", "another text of many words here", 5, 6), ("c", base.replace("w30 ", ""), 7, 8), (None, base, 9, 9)]
+    df = spark.createDataFrame(data, "doc_id string, text string, id long, node long")
+    got = sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in rows(near_dedup.near_duplicates(df)))
+    assert got == [("None", "None", True), ("a", "a", True), ("b", "a", False), ("c", "a", False), ("c", "c", True)]
+    assert near_dedup.distinct_documents(df).columns == df.columns
 
 
 def test_a_member_stays_member_where_it_is_also_guest(spark):
@@ -255,7 +314,7 @@ def test_a_member_stays_member_where_it_is_also_guest(spark):
     guests = spark.createDataFrame([row(b, k, True) for b in (1, 2) for k in (1, 2)], schema).coalesce(1)
     hosts = spark.createDataFrame([row(1, 1, False), row(1, 3, False), row(2, 2, False), row(2, 4, False)], schema).coalesce(1)
     for union in (guests.unionByName(hosts), hosts.unionByName(guests)):
-        links = {(r["a"], r["b"]) for r in rows(near_dedup.verified_links(union.coalesce(1), 85, 30)) if r["a"] != r["b"]}
+        links = {(r["a"], r["b"]) for r in rows(near_dedup.verified_links(union.coalesce(1), 85)) if r["a"] != r["b"]}
         assert links == {(1, 2)}
 
 
