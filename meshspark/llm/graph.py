@@ -2,32 +2,77 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_groups, written
+from .common import written
+
+
+def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
+    """(u, v), u > v: the same components with fewer edges, from union-find over stretches of at most ``most`` edges of a partition."""
+
+    def work(batches):
+        import pyarrow as pa
+
+        up: dict[int, int] = {}
+
+        def root(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        def stars():
+            rows = [(x, root(x)) for x in list(up)]
+            up.clear()
+            rows = [r for r in rows if r[0] != r[1]]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["u", "v"])
+
+        n = 0
+        for b in batches:
+            for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a, c = root(a), root(c)
+                up[max(a, c)] = min(a, c)
+            n += b.num_rows
+            if n >= most:
+                yield stars()
+                n = 0
+        yield stars()
+
+    return edges.select("a", "b").filter("a <> b").mapInArrow(work, "u long, v long")
+
+
+def _least(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """(u, v) with ``m``, the least v of each u; nodes in ``hot`` (u, m) get theirs by broadcast, so none fills a task."""
+    cold = rows if hot is None else rows.join(F.broadcast(hot), "u", "left_anti")
+    out = cold.repartition("u").dropDuplicates(["u", "v"]).withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return out if hot is None else out.unionByName(rows.join(F.broadcast(hot), "u"))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root) for every id with an edge other than the root itself; ``edges`` has columns a and b.
+    """(id, root) for every id with an edge other than the root itself; ``edges`` has long columns a and b.
 
     Every round moves neighbours to the smallest id seen; edges stay a table of the shared folder and
-    are never collected.  Minima are pre-aggregated, and those of nodes with very many neighbours go
-    to the edges instead of the edges to them, so no task gets all neighbours of a node.
+    are never collected.  Nodes with over a 2000th of all edge ends (so at most 2000) are treated
+    apart: their minima are pre-aggregated and broadcast.
     """
-    e = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    if e.isEmpty():
-        return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
-    lowest = lambda d: d.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+    spark = edges.sparkSession
+    e = written(contracted(edges), "edges")
     for _ in range(rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = lowest(both).withColumn("m", F.least("u", "m"))
-        large = written(with_groups(both, least, ["u"], "n").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = lowest(large)
-        small = with_groups(large, low, ["u"], "n").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("up")), F.struct(F.col("v").alias("x"), F.lit(None).cast("long").alias("up")))).alias("s"))
+        nodes = ends.groupBy("s.x").agg(F.count(F.lit(1)).alias("n"), F.count("s.up").alias("ups"), F.min("s.up").alias("lo"), F.max("s.up").alias("hi"))
         # settled: every node has one edge, to one that has none
-        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s"))
-        if ends.groupBy("s.x").agg(F.sum("s.up").alias("up"), F.sum("s.down").alias("down")).filter("up > 1 or (up > 0 and down > 0)").isEmpty():
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root"))
+        total, most, loose = nodes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0)), F.count_if((F.col("lo") != F.col("hi")) | (F.col("ups") > 0) & (F.col("ups") < F.col("n")))).first()
+        if not loose:
+            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).distinct()
+        limit, hot = max(256, total // 2000), None
+        if most > limit:
+            hot = spark.createDataFrame(nodes.filter(F.col("n") > limit).select("x", F.coalesce("lo", "x")).collect(), "u long, m long")  # at most 2000
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _least(both, hot).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        if hot is not None:
+            large = written(large, "edges")
+            hot = large.join(F.broadcast(hot.select("u")), "u", "left_semi").groupBy("u").agg(F.min("v").alias("m"))
+        small = _least(large, hot)
+        e = written(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")), "edges")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
