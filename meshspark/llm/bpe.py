@@ -173,10 +173,13 @@ class Encoder:
     def _unit(self, s: str) -> bytes:
         return b"".join(map(self.word.__getitem__, self.pretoken.findall(s)))
 
+    def simple(self, text: str) -> bool:
+        """Whether each space or newline starts a unit that nothing later can reach."""
+        return not (self.odd.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"))
+
     def _plain(self, text: str):
         """Text without added tokens."""
-        single = not (self.odd.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[:1] in (" ", "\n") or text[-1:] in (" ", "\n"))
-        if single:  # each space or newline starts a unit that nothing later can reach
+        if self.simple(text):
             spaced = self.spaced.__getitem__
             for i, line in enumerate(text.split("\n")):
                 if i:
@@ -239,6 +242,73 @@ class LibraryEncoder(Encoder):
         return super()._spaced(s)
 
 
+    def encode_all(self, texts: list, most: int = 12_000_000) -> list:
+        """The ids of each text as numpy arrays; simple texts are split together, and each of their distinct units is looked up once."""
+        import numpy as np
+
+        out: list = [None] * len(texts)
+        some, size = [], 0
+        for i, text in enumerate(texts):
+            if not text or not self.simple(text) or any(s in text for s in self.v.added):
+                out[i] = np.frombuffer(self.encode(text), "<u4")
+                continue
+            some.append(i)
+            size += len(text)
+            if size >= most:
+                self._together(texts, some, out)
+                some, size = [], 0
+        if some:
+            self._together(texts, some, out)
+        return out
+
+    def _together(self, texts, some, out) -> None:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # a unit behind a newline, or at the start of a text, begins with a newline; others followed a space
+        units = pc.split_pattern(pa.array(["\n" + texts[i].replace("\n", " \n") for i in some], pa.large_string()), " ")
+        coded = units.flatten().dictionary_encode()
+        known = self._units(coded.dictionary.to_pylist())
+        n = np.fromiter(map(len, known), np.int32, len(known)) // 4
+        flat, start = np.frombuffer(b"".join(known), "<u4"), np.cumsum(n, dtype=np.int32) - n
+        at = coded.indices.to_numpy()
+        each = n[at]
+        end = np.cumsum(each, dtype=np.int32)  # ``most`` keeps this small
+        place = np.arange(end[-1], dtype=np.int32)
+        place += np.repeat(start[at] - end + each, each)
+        ids = flat[place]
+        stops = end[units.offsets.to_numpy()[1:] - 1]
+        for i, a, b in zip(some, [0, *stops[:-1].tolist()], stops.tolist()):
+            out[i] = ids[a + 1 : b]  # without the newline of the text's start
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        """The ids of distinct units of simple texts."""
+        spaced, first, newline, word = self.spaced, self.first, self.newline, self.word
+        tokenize, packs, space, room = self.model.tokenize, self.packs, self.space, MEMO_ENTRIES - len(self.spaced)
+        out, get = [], spaced.get
+        for u in units:
+            if (found := get(u)) is not None:
+                out.append(found)
+                continue
+            end = ""
+            if u[-1] in ".,;:!?" and len(u) > 1:  # the mark behind a word is a pre-token of its own
+                u, end = u[:-1], u[-1]
+            if u.isalpha() and len(u) <= 64:
+                if (found := get(u)) is None:
+                    tokens = tokenize(space + (u if u.isascii() else u.encode("utf-8").decode("latin-1").translate(self.letter)))
+                    found = packs[len(tokens)](*[t.id for t in tokens])
+                    if room > 0:
+                        spaced[u] = found
+                        room -= 1
+                out.append(found + word[end] if end else found)
+            elif u[0] == "\n":
+                out.append(newline + first[u[1:] + end])
+            else:
+                out.append(spaced[u + end])
+        return out
+
+
 class Decoder:
     """Ids to text, a block at a time: a byte-to-text state machine that holds at most one unfinished character."""
 

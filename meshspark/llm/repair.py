@@ -31,8 +31,15 @@ SLOTS = 1 << 18
 SHARDS = T.StructType([T.StructField("part", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("n_docs", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("blob", T.BinaryType())])
 
 
-def pair_slots(keys: np.ndarray) -> np.ndarray:
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.intp)
+def pair_slots(a: np.ndarray, b: np.ndarray, turn: int) -> np.ndarray:
+    """The slot of each pair; every turn hashes anew, so pairs that met in one slot part in the next turn."""
+    odd = np.uint32((0x85EBCA6B + 0x3C6EF372 * turn) & 0xFFFFFFFF | 1)
+    x = a * np.uint32(0x9E3779B1)
+    x ^= b * odd
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x2C1B3C6D)
+    x >>= np.uint32(32 - SLOTS.bit_length() + 1)
+    return x.astype(np.int32)
 
 
 def compress(seq: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, rules_per_round: int = 4096, least: int = 8):
@@ -43,39 +50,36 @@ def compress(seq: np.ndarray, ends: np.ndarray, base: int, rounds: int = 4, rule
     """
     seq, left, right = seq.astype(np.uint32), [], []
     made = 0
-    for _ in range(rounds):
+    for turn in range(rounds):
         if len(seq) < 2:
             break
-        keys = seq[:-1].astype(np.uint64)
-        keys <<= np.uint64(32)
-        keys |= seq[1:]
-        slot = pair_slots(keys)
+        a, b = seq[:-1], seq[1:]
+        slot = pair_slots(a, b, turn)
         slot[ends[(ends > 0) & (ends < len(seq))] - 1] = SLOTS  # of pairs over a document's end
-        holder = np.zeros(SLOTS + 1, np.uint64)
-        holder[slot] = keys  # some pair of each slot
-        held = np.flatnonzero(holder[slot] == keys)
-        at = slot[held]
-        count = np.bincount(at, minlength=SLOTS + 1)[:SLOTS]
+        first_of, second_of = np.zeros(SLOTS + 1, np.uint32), np.zeros(SLOTS + 1, np.uint32)
+        first_of[slot], second_of[slot] = a, b  # the last pair of each slot
+        counted = first_of[slot] == a
+        counted &= second_of[slot] == b
+        count = np.bincount(slot[counted], minlength=SLOTS + 1)[:SLOTS]
         best = np.flatnonzero(count >= least)
         best = best[np.argsort(-count[best], kind="stable")][:rules_per_round]
         if not len(best):
             break
         rule = np.zeros(SLOTS + 1, np.uint32)
         rule[best] = base + made + np.arange(len(best), dtype=np.uint32)
-        symbol = rule[at]
-        ruled = np.flatnonzero(symbol)
-        hit, symbol = held[ruled], symbol[ruled]
+        symbol = rule[slot]
+        symbol *= counted
+        hit = np.flatnonzero(symbol).astype(np.int32)
         # of overlapping hits in a row, every other one from the first is replaced
-        run = np.maximum.accumulate(np.where(np.diff(hit, prepend=-2) > 1, np.arange(len(hit)), 0))
-        first = (np.arange(len(hit)) - run) % 2 == 0
-        hit = hit[first]
-        seq[hit] = symbol[first]
+        at = np.arange(len(hit), dtype=np.int32)
+        run = np.maximum.accumulate(np.where(np.diff(hit, prepend=np.int32(-2)) > 1, at, np.int32(0)))
+        hit = hit[((at - run) & 1) == 0]
+        seq[hit] = symbol[hit]
         keep = np.ones(len(seq), bool)
         keep[hit + 1] = False
         seq, ends = seq[keep], ends - np.searchsorted(hit, ends)
-        chosen = holder[best]
-        left.append((chosen >> np.uint64(32)).astype(np.uint32))
-        right.append((chosen & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        left.append(first_of[best])
+        right.append(second_of[best])
         made += len(best)
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint32)
     return seq, ends, cat(left), cat(right)
@@ -106,10 +110,10 @@ def expanded_rules(left, right, lengths, base):
     return flat, start
 
 
-def pack(ids: list, seqs: list[bytes], rounds: int) -> bytes:
-    """One shard's blob from document ids and their token ids (little-endian unsigned 32-bit)."""
-    lengths = np.array([len(s) // 4 for s in seqs], np.uint32)
-    seq = np.frombuffer(b"".join(seqs), "<u4")
+def pack(ids: list, seqs: list[np.ndarray], rounds: int) -> bytes:
+    """One shard's blob from document ids and their token ids."""
+    lengths = np.array([len(s) for s in seqs], np.uint32).reshape(len(ids), -1).sum(axis=1, dtype=np.uint32)  # a document may come in pieces, as many as any other
+    seq = np.concatenate([np.zeros(0, "<u4"), *seqs]).astype("<u4")
     base = int(seq.max(initial=0)) + 1
     sym, ends, left, right = compress(seq, np.cumsum(lengths, dtype=np.int64), base, rounds)
     n_sym = np.diff(ends, prepend=0).astype(np.uint32)
@@ -179,7 +183,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
         import pyarrow as pa
 
         enc = library_encoder(path)
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         part, seq, ids, seqs, size = None, 0, [], [], 0
 
         def row():
@@ -189,11 +193,10 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
         for b in batches:
             if b.num_rows and part is None:
                 part = b.column(2)[0].as_py()
-            for i, text in zip(b.column(0).to_pylist(), b.column(1)):
-                t = enc.encode(text.as_py()) + end
+            for i, t in zip(b.column(0).to_pylist(), enc.encode_all(b.column(1).to_pylist())):
                 ids.append(i)
-                seqs.append(t)
-                size += len(t) // 4
+                seqs += [t, end]
+                size += len(t) + 1
                 if size >= shard_tokens:
                     yield row()
                     seq, ids, seqs, size = seq + 1, [], [], 0
