@@ -6,13 +6,17 @@ trigrams that any query names; postings are intersected to candidates, and only
 scanned with the rule's expression.  A rule whose expression forces no trigram scans every text.
 
 Native: DataFrame functions only.  Spans come from the matches and from the pieces between them, so
-offsets count code points.  Null and empty texts have no spans.  Rows with equal or null ids are
-scanned if any of them is a candidate.  An empty table gives an empty result.
+offsets count code points; running sums over many matches go in chunks, so a text with very many
+matches costs little more than in proportion.  Null and empty texts have no spans.  Rows with equal
+ids are scanned if any of them is a candidate; rows with a null id are judged by their own text.
+Other columns may have any name.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -124,24 +128,35 @@ def candidates(index: DataFrame, rules=RULES) -> DataFrame:
     return hits.filter("held = needed").groupBy("_id").agg(F.collect_set("rule").alias("_rules"))
 
 
+def running(values: Column, add, start: int = 0) -> Column:
+    """The running ``add`` over an array, in chunks of about the root of its length, so that long arrays are not copied at every step."""
+
+    def within(xs, base):
+        step = lambda acc, x: let(add(acc["at"], x), lambda n: F.struct(n.alias("at"), F.concat(acc["out"], F.array(n)).alias("out")))
+        return F.aggregate(xs, F.struct(base.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def of(v):
+        side = F.ceil(F.sqrt(F.size(v))).cast("int")
+        chunk = lambda i: F.slice(v, i * side + 1, side)
+        count = F.sequence(F.lit(0), F.ceil(F.size(v) / side).cast("int") - 1)
+        whole = F.transform(count, lambda i: F.aggregate(chunk(i), F.lit(start), add))
+        return let(within(whole, F.lit(start)), lambda upto: F.flatten(F.transform(count, lambda i: within(chunk(i), F.coalesce(F.get(upto, i - 1), F.lit(start))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<int>")))
+
+
 def spans(text: Column, rule: Rule, order: int) -> Column:
     """Spans (start, order, kind, end) of one rule's leftmost non-overlapping matches, in code points, end exclusive."""
 
     def of(ms):
-        whole = let(
-            F.split(text, rule.pattern, -1),
-            lambda ps: F.aggregate(
-                F.sequence(F.lit(0), F.size(ms) - 1),
-                F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out")),
-                lambda acc, i: let(acc["at"] + F.char_length(F.get(ps, i)), lambda s: F.struct((s + F.char_length(F.get(ms, i))).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), (s + F.char_length(F.get(ms, i))).alias("end")))).alias("out"))),
-                lambda acc: acc["out"],
-            ),
-        )
-        sized = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
-        kept = F.filter(F.zip_with(whole, sized, lambda s, g: F.struct(s["start"].alias("start"), F.lit(order).alias("o"), F.lit(rule.kind).alias("kind"), s["end"].alias("end"), F.char_length(g).alias("n"))), lambda x: x["n"] >= rule.least)
-        return F.when(F.size(ms) > 0, F.transform(kept, lambda x: F.struct(x["start"].alias("start"), x["o"].alias("o"), x["kind"].alias("kind"), x["end"].alias("end")))).otherwise(NONE())
-
-    # a quantifier for the least length rules out shorter runs while matching; a plain class's longest runs are the same
+        ends = running(F.zip_with(F.slice(F.split(text, rule.pattern, -1), 1, F.size(ms)), ms, lambda p, m: F.char_length(p) + F.char_length(m)), lambda a, x: a + x)
+        whole = F.zip_with(ends, ms, lambda e, m: F.struct((e - F.char_length(m)).alias("start"), F.lit(order).alias("o"), F.lit(rule.kind).alias("kind"), e.alias("end")))
+        if rule.least:
+            sized = ms if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
+            kept = F.filter(F.zip_with(whole, sized, lambda s, g: F.struct(s.alias("s"), F.char_length(g).alias("n"))), lambda x: x["n"] >= rule.least)
+            whole = F.transform(kept, lambda x: x["s"])
+        return F.when(F.size(ms) > 0, whole).otherwise(NONE())
+
     return let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), of)
 
 
@@ -153,19 +168,27 @@ def NONE() -> Column:
 TIGHT = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 
 
+def own_rules(text: Column, rules=RULES) -> Column:
+    """The rules that a text is a candidate of, without an index."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    any_of = lambda alts, t: reduce(or_, [reduce(and_, [F.contains(t, F.lit(g)) for g in sorted(alt)]) for alt in alts])
+    return let(lower, lambda t: F.array_compact(F.array(*[F.when(any_of(q, t), F.lit(r.kind)) for r in rules if (q := trigram_query(r.pattern)) is not None])))
+
+
 def with_spans(docs: DataFrame, rules=RULES, id_col="doc_id", text_col="text", keep: list[str] | None = None) -> DataFrame:
-    """Add ``_spans``, all spans of all rules by start and then rule; ``keep`` lists the columns to carry besides the id and text."""
+    """(row, spans): the kept columns as one struct, so that no name can clash, and all spans of all rules by start and then rule."""
     kept = list(dict.fromkeys([id_col, text_col, *(keep or [])]))
-    found = candidates(build_index(docs, rules, id_col, text_col), rules)
-    scanned = {r.kind for r in rules if trigram_query(r.pattern) is None}
-    joined = docs.select(*kept).join(found, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    known, packed = F.col(id_col).isNotNull(), F.struct(*kept).alias("row")
+    found = candidates(build_index(docs.filter(known), rules, id_col, text_col), rules)
+    joined = docs.filter(known).select(F.col(id_col).alias("_id"), packed).join(found, "_id", "left").select("row", "_rules")
+    # rows without an id have no postings to meet, and would all meet in one task
+    joined = joined.unionByName(docs.filter(~known).select(packed, own_rules(F.col(text_col), rules).alias("_rules")))
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
     each = []
     for k, r in enumerate(rules):
-        tight = Rule(r.kind, TIGHT.get(r.kind, r.pattern), r.group, r.least)
-        s = spans(text, tight, k)
-        each.append(s if r.kind in scanned else F.when(F.array_contains("_rules", r.kind), s).otherwise(NONE()))
-    return joined.select(*kept, F.array_sort(F.concat(*each)).alias("_spans"))
+        s = spans(text, Rule(r.kind, TIGHT.get(r.kind, r.pattern), r.group, r.least), k)
+        each.append(s if trigram_query(r.pattern) is None else F.when(F.array_contains("_rules", r.kind), s).otherwise(NONE()))
+    return joined.select("row", F.array_sort(F.concat(*each)).alias("spans"))
 
 
 def span_text(found: Column) -> Column:
@@ -174,20 +197,32 @@ def span_text(found: Column) -> Column:
 
 def scan(docs: DataFrame, rules=RULES, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n_assign, n_access, n_hex, base_sha256, spans), one row for each document."""
-    found = with_spans(docs, rules, id_col, text_col).select(id_col, "_spans")
-    n = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("_spans", lambda s: s["o"] < 3)
-    return found.select(id_col, n("assign"), n("access"), n("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("_spans")).alias("spans"))
+    found = with_spans(docs, rules, id_col, text_col)
+    n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["o"] < 3)
+    return found.select(F.col("row")[id_col].alias(id_col), n("assign"), n("access"), n("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
-def redact(docs: DataFrame, rules=RULES, id_col="doc_id", text_col="text", mark: str = "[secret:{}]") -> DataFrame:
-    """The documents with every span replaced by its kind's mark; overlapping spans become one, marked by the first."""
-    found = with_spans(docs, rules, id_col, text_col, docs.columns)
+def stretch(chunks: Column, a: Column, b: Column, size: int) -> Column:
+    """Characters a to b - 1 of a text that was cut into ``chunks`` of ``size`` characters: only the chunks they lie in are read."""
+    i, j = F.floor(a / size).cast("int"), F.floor(b / size).cast("int")
+    head = F.substr(F.get(chunks, i), a % size + 1, F.least(b, (i + 1) * size) - a)
+    tail = F.when(j > i, F.concat(F.array_join(F.slice(chunks, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.coalesce(F.substr(F.get(chunks, j), F.lit(1), b % size), F.lit("")))).otherwise(F.lit(""))
+    return F.concat(F.coalesce(head, F.lit("")), tail)
 
-    def one(acc, s):
-        piece = F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1, s["start"] - acc["at"]), F.format_string(mark.replace("{}", "%s"), s["kind"]))
-        return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), piece.alias("out"))).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")))
 
-    rest = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), one, lambda acc: F.concat(acc["out"], F.substr(F.col(text_col), acc["at"] + 1)))
-    cleaned = F.when(F.size("_spans") > 0, rest).otherwise(F.col(text_col))
-    return found.select(*[cleaned.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+def redact(docs: DataFrame, rules=RULES, id_col="doc_id", text_col="text", mark: str = "[secret:{}]", chunk: int = 4096) -> DataFrame:
+    """The documents with every span replaced by its kind's mark; overlapping spans become one, marked by the first."""
+    found = with_spans(docs, rules, id_col, text_col, docs.columns)
+    text = F.col("row")[text_col]
+
+    def marked(chunks, upto):
+        before = lambda i: F.coalesce(F.get(upto, i - 1), F.lit(0))
+        piece = lambda s, i: F.when(s["start"] >= before(i), F.concat(stretch(chunks, before(i), s["start"], chunk), F.format_string(mark.replace("{}", "%s"), s["kind"]))).otherwise(F.lit(""))
+        rest = stretch(chunks, F.element_at(upto, -1), F.char_length(text), chunk)
+        return F.concat(F.array_join(F.transform("spans", piece), ""), rest)
+
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
+    ends = running(F.transform("spans", lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+    cleaned = F.when(F.size("spans") > 0, let(cut, lambda c: let(ends, lambda u: marked(c, u)))).otherwise(text)
+    return found.select(*[(cleaned if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])

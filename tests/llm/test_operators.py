@@ -119,6 +119,22 @@ def test_redaction(docs):
             assert "[secret:" in by[i]["text"] and not any(t[a:b] in by[i]["text"] for a, _, _, b in s)
 
 
+def test_very_many_matches_in_one_text(spark):
+    text = "ü token=abcdef12 ghp_" + "a1" * 20 + " " + "é password:zzzzzzz9 key deadbeefdeadbeefdeadbeef99 x\n" * 6000 + "end"
+    df = spark.createDataFrame([(1, text, 0, 0), (None, text, 0, 0), (2, "none", 0, 0)], "doc_id long, text string, spans int, row int")
+    want = ",".join(f"{k}:{a}:{b}" for a, _, k, b in brute_spans(text))
+    got = {r["doc_id"]: r["spans"] for r in rows(secrets.scan(df))}
+    assert got == {1: want, None: want, 2: ""}
+    out, at = [], 0
+    for a, _, kind, b in brute_spans(text):
+        if a >= at:
+            out.append(text[at:a] + f"[secret:{kind}]")
+        at = max(at, b)
+    again = {r["doc_id"]: r["text"] for r in rows(secrets.redact(df))}
+    assert again == {1: "".join(out) + text[at:], None: "".join(out) + text[at:], 2: "none"}
+    assert secrets.redact(df).columns == df.columns
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]+") is None
     assert secrets.trigram_query(r"AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
