@@ -1,11 +1,12 @@
 """Byte-pair encoding as a bounded-lookahead streaming transducer, and incremental decoding.
 
 Encoding.  A text is read as a stream of units that end where no later text can change the tokens
-before them (a single space or newline between visible characters, else a pre-token).  Inside a unit
-the merge list is run on windows: ``lookahead`` is a number of bytes, computed from the merge list,
+before them (a single space or newline between visible characters, else a pre-token), some 65,000
+characters at a time.  Inside a unit the merge list is run on windows: ``lookahead`` is a number of bytes, computed from the merge list,
 beyond which text cannot change a token boundary, so tokens that end that far before the window's end
-are emitted and the window moves on from the last emitted boundary.  State is one window and a
-bounded memo, however long the text or a single run of letters is.
+are emitted and the window moves on from the last emitted boundary.  ``encode_decode_digests`` feeds ids to
+the digest and the decoder as they come.  Beside the text itself, state is one stretch, one window
+and a bounded memo, however long the text or a single run of letters is.
 
 Why ``lookahead`` suffices.  Text to the right of a point can change a merge on its left only through
 a chain of merges, each of which takes or leaves the first symbol of the one to its right and comes
@@ -30,6 +31,8 @@ from pyspark.sql import types as T
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: The pre-token pattern published with byte-level BPE vocabularies.
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
+#: Characters of a text that are split at a time.
+STRETCH = 1 << 16
 #: Memo entries kept by each worker, for units and for pre-tokens.
 MEMO_ENTRIES = 400_000
 
@@ -145,22 +148,31 @@ class Encoder:
                 heapq.heappush(heap, (r >> 20, h, ids[h], new, r & 0xFFFFF))
         return [x for x in ids if x >= 0]
 
-    def _pretoken(self, s: str) -> bytes:
-        """Tokens of one pre-token, window by window."""
+    def _run(self, text: str, at: int, stop: int):
+        """Ids of one pre-token, window by window; only one window of it is held."""
         import array
 
-        raw, out, at = s.encode("utf-8"), array.array("I"), 0
-        while len(raw) - at > self.window:
-            ids, end = self.merge(raw[at : at + self.window]), 0
-            for t in ids:
+        raw = b""
+        while True:
+            while len(raw) <= self.window and at < stop:
+                part = text[at : min(stop, at + self.window)]
+                raw += part.encode("utf-8")
+                at += len(part)
+            if len(raw) <= self.window:
+                yield array.array("I", self.merge(raw)).tobytes()
+                return
+            out, end = array.array("I"), 0
+            for t in self.merge(raw[: self.window]):
                 n = len(self.v.bytes_of[t])
                 if end + n > self.window - self.v.lookahead:
                     break
                 out.append(t)
                 end += n
-            at += end
-        out.extend(self.merge(raw[at:]))
-        return out.tobytes()
+            yield out.tobytes()
+            raw = raw[end:]
+
+    def _pretoken(self, s: str) -> bytes:
+        return b"".join(self._run(s, 0, len(s)))
 
     def _spaced(self, s: str) -> bytes:
         """A space and then ``s``; letters with at most one mark behind them need no pattern."""
@@ -179,30 +191,43 @@ class Encoder:
 
     def _plain(self, text: str):
         """Text without added tokens."""
-        if self.simple(text):
-            spaced = self.spaced.__getitem__
-            for i, line in enumerate(text.split("\n")):
+        if not self.simple(text):
+            yield from self._by_pattern(text, 0, len(text))
+            return
+        # each space or newline starts a unit that nothing later can reach: stretches of whole units
+        spaced, at = self.spaced.__getitem__, 0
+        while at < len(text):
+            end = len(text)
+            if end - at > STRETCH:
+                end = max(text.rfind(" ", at + 1, at + STRETCH), text.rfind("\n", at + 1, at + STRETCH))
+                if end < 0:  # one long unit
+                    ends = [x for x in (text.find(" ", at + 1), text.find("\n", at + 1)) if x > 0]
+                    end = min(ends, default=len(text))
+                    yield from self._by_pattern(text, at, end)
+                    at = end
+                    continue
+            for i, line in enumerate(text[at:end].split("\n")):
                 if i:
                     yield self.newline
                 head, *rest = line.split(" ")
-                yield self.first[head]
+                if head:  # empty where a stretch starts with a separator
+                    yield self.first[head]
                 yield b"".join(map(spaced, rest))
-            return
-        at, step = 0, 1 << 16
-        while at < len(text):
-            size, cut = step, 0
-            while True:
-                found = [(m.end(), m.group()) for m in self.pretoken.finditer(text, at, at + size)]
-                if at + size >= len(text):
-                    stable = found
-                    break
-                stable = [x for x in found if x[0] <= at + size - 2]  # a later match could still grow, or turn into a contraction
-                if stable:
-                    break
-                size *= 2
-            yield b"".join(self.word[p] for _, p in stable)
-            cut = stable[-1][0]
-            at = cut
+            at = end
+
+    def _by_pattern(self, text: str, at: int, stop: int):
+        size = STRETCH
+        while at < stop:
+            limit, was = min(stop, at + size), at
+            for m in self.pretoken.finditer(text, at, limit):
+                if m.end() > limit - 2 and limit < stop:
+                    break  # it could still grow, or turn into a contraction
+                at = m.end()
+                if at - m.start() > 64:
+                    yield from self._run(text, m.start(), at)
+                else:
+                    yield self.word[m.group()]
+            size = STRETCH if at > was else 2 * size
 
     def pieces(self, text: str):
         if not text:
@@ -315,14 +340,25 @@ class Decoder:
     def __init__(self, vocab: Vocabulary, block: int = 8192):
         self.table, self.block = vocab.bytes_of, block
 
-    def pieces(self, ids: bytes):
+    def stream(self):
+        """A function from further ids to further text; with None it gives what is left at the end."""
         import numpy as np
 
         state = codecs.getincrementaldecoder("utf-8")("replace")
-        a, get = np.frombuffer(ids, "<u4"), self.table.__getitem__
-        for i in range(0, len(a), self.block):
-            yield state.decode(b"".join(map(get, a[i : i + self.block].tolist())))
-        yield state.decode(b"", True)
+        get = self.table.__getitem__
+
+        def feed(ids: bytes | None) -> str:
+            if ids is None:
+                return state.decode(b"", True)
+            return state.decode(b"".join(map(get, np.frombuffer(ids, "<u4").tolist())))
+
+        return feed
+
+    def pieces(self, ids: bytes):
+        feed = self.stream()
+        for i in range(0, len(ids), 4 * self.block):
+            yield feed(ids[i : i + 4 * self.block])
+        yield feed(None)
 
     def decode(self, ids: bytes) -> str:
         return "".join(self.pieces(ids))
@@ -370,11 +406,17 @@ def encode_decode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", te
             n, ids_sha, text_sha = [], [], []
             for text in b.column(1):
                 h, g, count = hashlib.sha256(), hashlib.sha256(), 0
-                ids = enc.encode(text.as_py())
-                h.update(ids)
-                for s in dec.pieces(ids):
-                    g.update(s.encode("utf-8"))
-                count = len(ids) // 4
+                feed, held, size = dec.stream(), [], 0
+                for ids in enc.pieces(text.as_py() or ""):
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= STRETCH:
+                        h.update(ids := b"".join(held))
+                        g.update(feed(ids).encode("utf-8"))
+                        count, held, size = count + size // 4, [], 0
+                h.update(ids := b"".join(held))
+                g.update((feed(ids) + feed(None)).encode("utf-8"))
+                count += size // 4
                 n.append(count)
                 ids_sha.append(h.hexdigest())
                 text_sha.append(g.hexdigest())

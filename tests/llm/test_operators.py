@@ -55,6 +55,29 @@ def test_bpe_streams_long_runs_with_bounded_windows(library):
     assert 0 < v.lookahead < 4096
 
 
+def test_memory_does_not_grow_with_a_run_or_a_text(library):
+    import tracemalloc
+
+    enc = bpe.Encoder(bpe.vocabulary(vocabulary_file()))
+    rng = np.random.default_rng(9)
+    enc.encode("warm up")
+    peaks = []
+    for n in (100_000, 800_000):
+        text = "".join(rng.choice(list("aeinrst"), n)) + " some words\nand more" * (n // 20)
+        tracemalloc.start()
+        ids = [np.frombuffer(x, "<u4").tolist() if n == 100_000 else None for x in enc.pieces(text)]
+        del ids
+        tracemalloc.reset_peak()
+        for _ in enc.pieces(text):
+            pass
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 1_500_000
+    text = ("x" * 70_000 + " ab'll 12" * 9000 + "\n" + "word " * 20_000 + "end\n" + "y" * 200_000 + " z")
+    assert np.frombuffer(enc.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode("  " + text), "<u4").tolist() == library.encode("  " + text, add_special_tokens=False).ids
+
+
 def test_lookahead_of_a_small_merge_list():
     # "ab" may be undone by "bc", which comes first: two bytes beyond the boundary of "a" decide
     assert bpe.sufficient_lookahead([(b"b", b"c"), (b"a", b"b")]) >= 3
