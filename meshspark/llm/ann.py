@@ -11,7 +11,7 @@ on down its queue until they do.
 Defined cases: vectors that are null, zero, of another length than most, or that hold null or
 non-finite components take no part; ties go to the smaller id; fewer candidates than k give fewer
 rows; an empty table gives none.  Rows with equal ids are one candidate each, and none is its own
-query's.
+query's; of query rows with equal ids one (the smallest vector) asks.  Ids are cast to long.
 """
 
 from __future__ import annotations
@@ -111,37 +111,33 @@ def matrix(column) -> np.ndarray:
 
 
 def best(q_ids, q, ids, x, k):
-    """For each query its ``k`` best of (ids, x): query, id, score; equal vectors get equal scores."""
+    """(query, id, score) arrays: for each query its ``k`` best of (ids, x); equal vectors get equal scores."""
     s = q @ x.T
-    for i in range(len(q)):
-        own = ids != q_ids[i]
-        n = int(own.sum())
-        if not n:
-            continue
-        r = np.where(own, s[i], -np.inf)
-        least = np.partition(r, len(r) - min(k, n))[len(r) - min(k, n)]
-        near = np.flatnonzero(r >= least - 1e-9 * (1 + abs(least)))
-        exact = (x[near] * q[i]).sum(axis=1)
-        for j in np.lexsort((ids[near], -exact))[:k]:
-            yield int(q_ids[i]), int(ids[near[j]]), float(exact[j])
-
-
-def merged(rows: list, k: int) -> list:
-    """Each query's ``k`` best of (query, id, score), ties to smaller ids."""
-    if not rows:
-        return rows
-    q, i, s = (np.array(c) for c in zip(*rows))
+    s[q_ids[:, None] == ids] = -np.inf
+    at = min(k, s.shape[1])
+    least = np.partition(s, s.shape[1] - at, axis=1)[:, s.shape[1] - at]
+    with np.errstate(invalid="ignore"):
+        near = (s > -np.inf) & (s >= (least - 1e-9 * (1 + np.abs(least)))[:, None])
+    near |= (s > -np.inf) & np.isinf(least)[:, None]
+    i, j = np.nonzero(near)
+    exact = np.concatenate([np.zeros(0), *[(x[j[c : c + 65_536]] * q[i[c : c + 65_536]]).sum(axis=1) for c in range(0, len(i), 65_536)]])
+    return merged([(q_ids[i], ids[j], exact)], k)
+
+
+def merged(found: list, k: int):
+    """Each query's ``k`` best of (query, id, score) arrays, ties to smaller ids."""
+    q, i, s = (np.concatenate([np.zeros(0, kind), *[f[c] for f in found]]) for c, kind in enumerate((np.int64, np.int64, np.float64)))
     order = np.lexsort((i, -s, q))
-    first = np.flatnonzero(np.diff(q[order], prepend=q[order[0]] - 1))
+    q, i, s = q[order], i[order], s[order]
+    first = np.flatnonzero(np.diff(q, prepend=q[:1] - 1))
     place = np.arange(len(q)) - np.repeat(first, np.diff(first, append=len(q)))
-    return [rows[j] for j in order[place < k]]
+    return q[place < k], i[place < k], s[place < k]
 
 
-def _batch(rows):
+def _batch(found):
     import pyarrow as pa
 
-    c = list(zip(*rows)) if rows else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], ["query_id", "id", "score"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "id", "score"])
 
 
 def top(pairs: DataFrame, k: int) -> DataFrame:
@@ -156,7 +152,7 @@ def exact_top(vectors: DataFrame, q_ids: np.ndarray, q: np.ndarray, k: int) -> D
         for b in batches:
             ids, x = b.column(0).to_numpy(), matrix(b.column(1))
             for i in range(0, len(ids), BLOCK):
-                yield _batch(list(best(q_ids, q, ids[i : i + BLOCK], x[i : i + BLOCK], k)))
+                yield _batch(best(q_ids, q, ids[i : i + BLOCK], x[i : i + BLOCK], k))
 
     return top(vectors.mapInArrow(work, "query_id long, id long, score double"), k)
 
@@ -181,10 +177,11 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = 0.9
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(shared.value.assign(matrix(b.column(1))) if b.num_rows else [], pa.int64())], ["id", "v", "leaf"])
 
     placed = ok.mapInArrow(put, "id long, v array<double>, leaf long")
-    asked = ok.filter(F.col("id") % every == 0)
+    # of query rows with equal ids the first in order asks; all of them are no candidates of it
+    asked = ok.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("v").alias("v"), F.count(F.lit(1)).alias("own"))
 
     # calibration: a bounded set of queries, against all vectors
-    some = asked.orderBy(F.xxhash64("id", F.lit(2)), "id").limit(CALIBRATION).toArrow()
+    some = asked.select("id", "v").orderBy(F.xxhash64("id", F.lit(2)), "id").limit(CALIBRATION).toArrow()
     visits = tree.n_leaves
     if len(some):
         q_ids, q = some.column("id").to_numpy(), matrix(some.column("v"))
@@ -213,25 +210,25 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = 0.9
         held_by[row["leaf"]] = row["n"]
     tall = placed.join(F.broadcast(size.drop("n")), "leaf")  # one row for each leaf
     rows = tall.select(F.xxhash64("leaf", F.pmod(F.xxhash64("id"), "parts")).alias("block"), F.lit(0).alias("is_query"), "id", "v")
-    # a query's own rows (several if its id is repeated) are no candidates
-    own_rows = asked.groupBy("id").agg(F.count(F.lit(1)).alias("own"))
-    wanted = asked.join(own_rows, "id").select("id", "v", "own").mapInArrow(ask, "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(size.drop("n")), "leaf")
+    wanted = asked.select("id", "v", "own").mapInArrow(ask, "id long, v array<double>, leaves array<long>").select("id", "v", F.explode("leaves").alias("leaf")).join(F.broadcast(size.drop("n")), "leaf")
     rows = rows.unionByName(wanted.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "leaf", "id", "v").select(F.xxhash64("leaf", "part").alias("block"), F.lit(1).alias("is_query"), "id", "v"))
 
     def meet(batches):
-        held: list = []
+        held, size = [], 0
         for t in blocks(batches, "block"):
             ids, x, asks = t.column("id").to_numpy(), matrix(t.column("v")), t.column("is_query").to_numpy() == 1
             if not asks.any() or asks.all():
                 continue
             qi, qx, ci, cx = ids[asks], x[asks], ids[~asks], x[~asks]
             for i in range(0, len(qi), 512):
-                held += best(qi[i : i + 512], qx[i : i + 512], ci, cx, k)
-            if len(held) > HELD:  # what a query finds in the blocks of one task is merged, so a task returns k rows a query
-                held = merged(held, k)
-                if 2 * len(held) > HELD:
-                    yield _batch(held)
-                    held = []
+                held.append(best(qi[i : i + 512], qx[i : i + 512], ci, cx, k))
+                size += len(held[-1][0])
+            if size > HELD:  # what a query finds in the blocks of one task is merged, so a task returns k rows a query
+                held = [merged(held, k)]
+                size = len(held[0][0])
+                if 2 * size > HELD:
+                    yield _batch(held[0])
+                    held, size = [], 0
         yield _batch(merged(held, k))
 
     met = rows.repartition("block").sortWithinPartitions("block").mapInArrow(meet, "query_id long, id long, score double")

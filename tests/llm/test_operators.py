@@ -515,7 +515,7 @@ def test_mixing(docs, no_docs):
     most = max(r["size"] for r in got)
     assert all(abs(taken[s] - goal[s]) <= most * 1.01 for s in size)
     again = rows(mixing.mix_copies(docs.repartition(7)))
-    key = lambda x: sorted(str((r["doc_id"], r["source"], r["text_crc"], r["copies"])) for r in x)
+    key = lambda x: sorted(str((r["doc_id"], r["source"], r["text_key"], r["copies"])) for r in x)
     assert key(got) == key(again)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
