@@ -39,7 +39,8 @@ def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
                 n = 0
         yield stars()
 
-    return edges.select("a", "b").filter("a <> b").mapInArrow(work, "u long, v long")
+    # written first: Python on top of Python in one stage would hold two workers a task
+    return written(edges.select("a", "b").filter("a <> b"), "edges").mapInArrow(work, "u long, v long")
 
 
 def _least(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
