@@ -33,8 +33,8 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 PRETOKEN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Characters of a text that are split at a time.
 STRETCH = 1 << 16
-#: Memo entries kept by each worker, for units and for pre-tokens.
-MEMO_ENTRIES = 400_000
+#: Memo entries kept by each worker, of each kind of unit.
+MEMO_ENTRIES = 150_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -80,13 +80,13 @@ class Vocabulary:
 class _Memo(dict):
     """Bounded: once full, further units are worked out each time."""
 
-    def __init__(self, work):
+    def __init__(self, work, room: int):
         super().__init__()
-        self.work = work
+        self.work, self.room = work, room
 
     def __missing__(self, key):
         out = self.work(key)
-        if len(self) < MEMO_ENTRIES and len(key) <= 64:
+        if len(self) < self.room and len(key) <= 64:
             self[key] = out
         return out
 
@@ -94,7 +94,7 @@ class _Memo(dict):
 class Encoder:
     """The streaming transducer: ``pieces`` yields id bytes (little-endian unsigned 32-bit) as they become stable."""
 
-    def __init__(self, vocab: Vocabulary, window: int | None = None):
+    def __init__(self, vocab: Vocabulary, window: int | None = None, room: int = MEMO_ENTRIES):
         import regex
 
         self.v = vocab
@@ -102,9 +102,9 @@ class Encoder:
         self.pretoken = regex.compile(PRETOKEN)
         self.added = re.compile("(" + "|".join(map(re.escape, sorted(vocab.added, key=len, reverse=True))) + ")") if vocab.added else None
         self.odd = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
-        self.word = _Memo(self._pretoken)
-        self.first = _Memo(self._unit)
-        self.spaced = _Memo(self._spaced)
+        self.word = _Memo(self._pretoken, room)
+        self.first = _Memo(self._unit, room)
+        self.spaced = _Memo(self._spaced, room)
         self.newline = self._pretoken("\n")
 
     def merge(self, raw: bytes) -> list[int]:
@@ -252,7 +252,7 @@ class LibraryEncoder(Encoder):
         self.letter = {b: c for c, b in byte_letters().items()}
         self.space = self.letter[ord(" ")]
         self.packs = [struct.Struct(f"<{n}I").pack for n in range(257)]
-        super().__init__(vocabulary(path))
+        super().__init__(vocabulary(path), room=400_000)
 
     def _pretoken(self, s: str) -> bytes:
         if len(s) > 64:
@@ -310,7 +310,7 @@ class LibraryEncoder(Encoder):
     def _units(self, units: list[str]) -> list[bytes]:
         """The ids of distinct units of simple texts."""
         spaced, first, newline, word = self.spaced, self.first, self.newline, self.word
-        tokenize, packs, space, room = self.model.tokenize, self.packs, self.space, MEMO_ENTRIES - len(self.spaced)
+        tokenize, packs, space, room = self.model.tokenize, self.packs, self.space, self.spaced.room - len(self.spaced)
         out, get = [], spaced.get
         for u in units:
             if (found := get(u)) is not None:

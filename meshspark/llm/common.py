@@ -25,10 +25,23 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start from files that survive lost executors."""
+#: Rows of the Arrow batches between the JVM and Python while a table is written.
+BATCH_ROWS = 2000
+
+
+def written(df: DataFrame, name: str, codec: str = "snappy", batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: later plans start from files that survive lost executors.
+
+    Arrow batches are kept small meanwhile: they hold whole texts, in the JVM and in Python.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = conf.get(key)
+    conf.set(key, str(batch_rows))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.set(key, was)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def contracted(edges: DataFrame, most: int = 500_000) -> DataFrame:
+def contracted(edges: DataFrame, most: int = 200_000) -> DataFrame:
     """(u, v), u > v: the same components with fewer edges, from union-find over stretches of at most ``most`` edges of a partition."""
 
     def work(batches):

@@ -386,15 +386,16 @@ def confirm(docs: DataFrame, reps: DataFrame, tied: DataFrame, id_col: str, text
     def sets_of(batches):
         import pyarrow as pa
 
-        for b in batches:
-            keep, sets_ = [], []
-            for i, (text, k1, k2) in enumerate(zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist())):
-                w = words_of(text.as_py())
-                if _keys(w) == (k1, k2):
-                    keep.append(i)
-                    sets_.append(shingles(w, n).tobytes())
-            t = pa.Table.from_batches([b]).take(pa.array(keep, pa.int64()))
-            yield from pa.table({"id": t.column("k1"), "cluster": t.column("cluster"), "size": t.column("size"), "shingles": pa.array(sets_, pa.binary())}).to_batches()
+        for whole in batches:
+            for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
+                keep, sets_ = [], []
+                for i, (text, k1, k2) in enumerate(zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist())):
+                    w = words_of(text.as_py())
+                    if _keys(w) == (k1, k2):
+                        keep.append(i)
+                        sets_.append(shingles(w, n).tobytes())
+                t = pa.Table.from_batches([b]).select(["k1", "cluster", "size"]).take(pa.array(keep, pa.int64()))
+                yield from pa.table({"id": t.column("k1"), "cluster": t.column("cluster"), "size": t.column("size"), "shingles": pa.array(sets_, pa.binary())}).to_batches()
 
     whole = tied.unionByName(tied.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "cluster")
     sizes = written(whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")

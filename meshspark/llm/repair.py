@@ -207,7 +207,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int = 2, shard_tokens: int
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(parts, id_col).sortWithinPartitions(id_col, text_col)
     packed = ranged.select(id_col, text_col, F.spark_partition_id().cast("long").alias("_part")).mapInArrow(work, SHARDS)
-    return written(packed, "token-shards", "zstd")
+    return written(packed, "token-shards", "zstd", batch_rows=10_000)  # units of a batch are looked up once
 
 
 def read_shards(shards: DataFrame, id_col: str = "doc_id") -> DataFrame:
