@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 CONNECTIVITY = ("elements", "face_nodes", "elem")
 
 
-def fesom_mesh(nodes: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+def triangle_mesh(nodes: DataFrame, elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes with ``lon``, ``lat`` in degrees; elements with 1-based connectivity under one of the known names."""
     name = next((c for c in CONNECTIVITY if c in elements.columns), None)
     if name is None:

@@ -125,7 +125,7 @@ def test_errors(spark):
     with pytest.raises(ValueError):
         geometry.triangle_geometry(topology.lattice(spark, 3, 3), fixtures.tri_nodes(spark, 3), "x")
     with pytest.raises(RuntimeError):
-        models.fesom_mesh(spark.range(1), spark.range(1))
+        models.triangle_mesh(spark.range(1), spark.range(1))
     with pytest.raises(KeyError):
         models.icon_mesh(spark.range(1), spark.range(1), mask=True)
     with pytest.raises(Exception, match="positive"):
@@ -140,7 +140,7 @@ def test_errors(spark):
 def test_model_sources(spark):
     nodes = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 0.0, 1.0)], "node_id long, lon double, lat double")
     cells = spark.createDataFrame([(0, [1, 2, 3])], "elem_id long, face_nodes array<int>")
-    n, e = models.fesom_mesh(nodes, cells)
+    n, e = models.triangle_mesh(nodes, cells)
     assert e.first().nodes == [0, 1, 2] and n.count() == 3
     icon_cells = spark.createDataFrame([(0, [1, 2, 3], -2), (1, [1, 2, 3], 1), (2, [1, 2, 3], 0)], "elem_id long, vertex_of_cell array<int>, cell_sea_land_mask int")
     n, e = models.icon_mesh(nodes.withColumnsRenamed({"lon": "vlon", "lat": "vlat"}), icon_cells, mask=True)
