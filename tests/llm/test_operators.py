@@ -94,6 +94,14 @@ def test_token_shards_round_trip(docs, no_docs, library):
     assert rows(repair.read_shards(repair.write_shards(no_docs, vocabulary_file()))) == []
 
 
+def test_grammar_compresses_real_text(spark, library):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    seqs = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4") for t in texts]
+    shard = repair.Shard(repair.pack(list(range(len(seqs))), seqs, 4))
+    assert all((shard.tokens(i) == s).all() for i, s in enumerate(seqs))
+    assert len(shard.symbols) + 2 * len(shard.rule_lengths) < 0.75 * sum(map(len, seqs))
+
+
 def test_grammar_compresses_and_gives_random_access():
     rng = np.random.default_rng(1)
     seqs = [np.tile(rng.integers(0, 50, 20), 30).astype("<u4") for _ in range(20)] + [np.array([5], "<u4")]
@@ -186,6 +194,28 @@ def test_lm_scores(docs, no_docs):
     assert rows(maxent_lm.lm_scores(no_docs)) == []
 
 
+def test_lm_learns_what_follows(spark):
+    """Two languages that never mix: the neighbours tell which words can come, so held-out scores beat counts alone."""
+    rng = np.random.default_rng(3)
+    side = [["".join(rng.choice(list(a), 4)) + z for _ in range(150)] for a, z in (("bdgklm", "oa"), ("prstvz", "iu"))]
+    data = [(i, " ".join(rng.choice(side[i % 2], 60))) for i in range(1200)]
+    held = [r for r in rows(maxent_lm.lm_scores(spark.createDataFrame(data, "doc_id long, text string"))) if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.15 and np.mean([r["score"] > r["base_score"] for r in held]) > 0.95
+
+
+def test_endings_are_grouped_by_their_neighbours():
+    follow = np.zeros((maxent_lm.BUCKETS, maxent_lm.BUCKETS))
+    for block in (range(0, 10), range(10, 30)):
+        for i in block:
+            for j in block:
+                follow[i, j] = 5 + (i * j) % 3
+    of = maxent_lm.group_endings(follow, 2)
+    assert len(set(of[:10])) == 1 and len(set(of[10:30])) == 1 and of[0] != of[10]
+    words = [b"abc", b"x", b"\xc3\xa9t\xc3\xa9"]
+    assert maxent_lm.ending_buckets(b" ".join(words)).tolist() == [int(maxent_lm.bucket_of_ending(int.from_bytes(w[-2:], "little"))) for w in words]
+
+
 def test_lm_is_a_distribution():
     """Over all words and unseen, the probabilities of the next word sum to one."""
     rng = np.random.default_rng(0)
