@@ -2,6 +2,11 @@
 
 SQL cannot express the classifier, the similarity join and the tokenizer, so ORACLE_SQL is None and
 the tests compare ``run`` with a brute-force version on a small table.
+
+Defined cases: null and empty texts are scored at the classifier's intercept, have no near copies and
+no secrets, and encode to no tokens; documents with a null id stay until mixing; of rows equal in id
+and text one stays; an empty table gives an empty result; further columns pass through all stages but
+the last, which returns ids, counts and digests.
 """
 
 from __future__ import annotations
