@@ -41,6 +41,12 @@ def node_neighbours(elements: DataFrame) -> DataFrame:
     return neighbour_pairs(elements).groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("first_elem", "first_k", "nbr_id"))).alias("l")).select("node_id", F.col("l.nbr_id").alias("nbrs"))
 
 
+def date_line_free(elements: DataFrame, nodes: DataFrame, widest: float = 10.0) -> DataFrame:
+    """(elem_id, nodes): elements whose longitudes (degrees) span less than ``widest``; others cross the date line."""
+    span = incidence(elements).join(nodes.select("node_id", "x"), "node_id").groupBy("elem_id").agg((F.max("x") - F.min("x")).alias("span"))
+    return elements.join(span.filter(F.col("span") < widest).select("elem_id"), "elem_id", "left_semi")
+
+
 def grid_cells(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     return spark.range(nx * ny).select(F.col("id").alias("cell_id"), F.floor(F.col("id") / ny).cast("int").alias("ix"), (F.col("id") % ny).cast("int").alias("iy"))
 

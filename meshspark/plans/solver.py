@@ -3,11 +3,14 @@
 ``local``: an operator of checked size is broadcast as CSR and every right-hand side is solved in the
 task that holds it, so work scales with the number of fields.  ``distributed``: conjugate gradients
 as DataFrame steps for operators beyond that size, all right-hand sides advancing together.
-``spectral``: two matrix products on a closed uniform grid.  ``auto`` picks by size.
+``spectral``: two matrix products on a closed uniform grid.  ``auto`` takes ``local`` up to LOCAL_ENTRIES
+entries, then ``spectral`` where the mesh is such a grid and each field has one scale, else ``distributed``.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +20,8 @@ from ..sources.tables import cut, removed
 
 #: Entries of an operator that may be broadcast (about 24 bytes each).
 LOCAL_ENTRIES = 4_000_000
+#: Rows of a basis table that may be broadcast (16 bytes each).
+BASIS_ROWS = 1_000_000
 TOLERANCE, MAX_ITERATIONS = 1e-11, 150_000
 
 
@@ -180,13 +185,18 @@ def distributed_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], or
     raise SolverNotConvergedError(f"no convergence in {most} iterations: {open_[:3]}")
 
 
-def spectral_solve(cells: DataFrame, fields: DataFrame, keys: list[str], nx: int, ny: int, k: float, order: int, area: float = 1.0) -> DataFrame:
-    """Closed uniform grid: cosine transforms along x and y as joins with small basis tables; ``fields`` is (keys, ix, iy, value)."""
+def spectral_solve(cells: DataFrame, fields: DataFrame, keys: list[str], nx: int, ny: int, k, order: int, area: float = 1.0) -> DataFrame:
+    """Closed uniform grid: cosine transforms along x and y as joins with basis tables; ``fields`` is (keys, ix, iy, value).
+
+    ``k`` is a number, or a column of the keys.  A basis is broadcast up to BASIS_ROWS rows and shuffled beyond.
+    """
     import math
 
     def basis(n, at, mode):
-        spark = fields.sparkSession
-        return F.broadcast(spark.createDataFrame([(i, p, math.cos(math.pi * p * (i + 0.5) / n) * math.sqrt((1 if p == 0 else 2) / n)) for i in range(n) for p in range(n)], f"{at} int, {mode} int, b double"))
+        i, p = F.floor(F.col("id") / n), F.col("id") % n
+        b = F.cos(math.pi * p * (i + 0.5) / n) * F.sqrt(F.when(p == 0, 1.0).otherwise(2.0) / n)
+        table = fields.sparkSession.range(n * n).select(i.cast("int").alias(at), p.cast("int").alias(mode), b.alias("b"))
+        return F.broadcast(table) if n * n <= BASIS_ROWS else table
 
     bx, by = basis(nx, "ix", "p"), basis(ny, "iy", "r")
     go = lambda d, b, keep, to, c: d.join(b, keep).groupBy(*keys, *to).agg(F.sum(F.col(c) * F.col("b")).alias(c))
@@ -197,13 +207,40 @@ def spectral_solve(cells: DataFrame, fields: DataFrame, keys: list[str], nx: int
     return out.withColumnRenamed("value", "filtered")
 
 
+def _spectral(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int) -> DataFrame:
+    """``spectral_solve`` for rows by node id, held to the coverage of the other tiers."""
+    nx, ny, area = mesh.grid
+    _check_cover(mesh, fields, keys)
+    at = fields.withColumn("ix", F.floor(F.col("node_id") / ny).cast("int")).withColumn("iy", (F.col("node_id") % ny).cast("int"))
+    out = spectral_solve(None, at, [*keys, "k"], nx, ny, F.col("k"), order, area)
+    out = out.select(*keys, (F.col("ix") * ny + F.col("iy")).cast("long").alias("node_id"), "filtered")
+    return fields.join(out, [*keys, "node_id"]).select(*fields.columns, "filtered")
+
+
+def _one_scale(fields: DataFrame, keys: list[str]) -> bool:
+    return fields.groupBy(*keys).agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a <> b").isEmpty()
+
+
 def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, solver: str = "auto", tol: float = TOLERANCE, most: int = MAX_ITERATIONS) -> DataFrame:
+    """(fields, filtered) by the tier named; ``local`` raises for an operator beyond LOCAL_ENTRIES."""
     if order < 1:
         raise ValueError("the order must be at least 1")
-    if solver == "auto":
-        solver = "local" if mesh.operator.count() <= LOCAL_ENTRIES else "distributed"
-    if solver == "local":
-        return local_solve(mesh, fields, keys, order, tol=tol, most=most)
-    if solver == "distributed":
-        return distributed_solve(mesh, fields, keys, order, tol, most)
-    raise NotImplementedError(f"solver {solver!r}")
+    if solver not in ("auto", "local", "distributed", "spectral"):
+        raise NotImplementedError(f"solver {solver!r}")
+    if solver == "spectral" and not (mesh.grid and _one_scale(fields, keys)):
+        raise ValueError("cosine transforms need a closed uniform grid and one scale for each field")
+    if solver in ("auto", "local"):
+        # written once: counting and collecting would each run the assembly's joins again
+        op = cut(mesh.operator.select("i", "j", "s"), "operator")
+        mesh = replace(mesh, operator=op)
+        fits = op.count() <= LOCAL_ENTRIES
+        if fits:
+            out = local_solve(mesh, fields, keys, order, tol=tol, most=most)
+            removed(op)
+            return out
+        if solver == "local":
+            raise ValueError(f"the operator has more than {LOCAL_ENTRIES} entries")
+        solver = "spectral" if mesh.grid and _one_scale(fields, keys) else "distributed"
+    if solver == "spectral":
+        return _spectral(mesh, fields, keys, order)
+    return distributed_solve(mesh, fields, keys, order, tol, most)

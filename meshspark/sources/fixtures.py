@@ -39,6 +39,12 @@ def tri_nodes(spark: SparkSession, n: int = 6) -> DataFrame:
     return spark.range(n * n).select(F.col("id").alias("node_id"), (i + jitter(7919, 101)).alias("x"), (j + jitter(104729, 97)).alias("y"))
 
 
+def lattice_nodes(spark: SparkSession, nx: int, ny: int) -> DataFrame:
+    """Jittered nodes of an nx x ny lattice, x-major."""
+    i, j = F.floor(F.col("id") / ny), F.col("id") % ny
+    return spark.range(nx * ny).select(F.col("id").alias("node_id"), (i + jitter(7919, 101)).alias("x"), (j + jitter(104729, 97)).alias("y"))
+
+
 def tri_nodes_sphere(spark: SparkSession, n: int = 6) -> DataFrame:
     i, j = F.floor(F.col("id") / n), F.col("id") % n
     return spark.range(n * n).select(F.col("id").alias("node_id"), (2 * i + jitter(7919, 101)).alias("x"), (20 + 8 * j + jitter(104729, 97)).alias("y"))
@@ -53,6 +59,13 @@ def nemo_cells(spark: SparkSession, nx: int = 6, ny: int = 5) -> DataFrame:
     return spark.range(nx * ny).select(F.col("id").alias("cell_id"), F.floor(F.col("id") / ny).cast("int").alias("ix"), (F.col("id") % ny).cast("int").alias("iy"), *m, (F.col("id") % 11 != 3).alias("ocean"))
 
 
+def mesh_mask(spark: SparkSession, nx: int = 8, ny: int = 7, levels: int = 2) -> DataFrame:
+    """A curvilinear mesh-mask table with levels, lengths in metres."""
+    m = [(1000 * (b + F.pmod(F.col("id") * p, F.lit(q)) / q)).alias(n if n[:2] != "e3" else f"{n}_0") for n, (b, p, q) in NEMO_METRICS.items()]
+    x, y, z = F.floor(F.col("id") / ny) % nx, F.col("id") % ny, F.floor(F.col("id") / (nx * ny))
+    return spark.range(nx * ny * levels).select(x.cast("int").alias("x"), y.cast("int").alias("y"), z.cast("int").alias("z"), *m, x.cast("double").alias("glamt"), y.cast("double").alias("gphit"), (F.col("id") % 11 != 3).cast("int").alias("tmask"))
+
+
 def fold_map(spark: SparkSession, nx: int = 6) -> DataFrame:
     return spark.range(nx).select((F.col("id") + 1).alias("ref_x"), (nx - F.col("id")).alias("adjacent_x"))
 

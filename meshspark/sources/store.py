@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass
 class PreparedMesh:
-    """What a filter needs: ``node`` (node_id, area) and ``operator`` (i, j, s), positive sign; other tables as they come."""
+    """What a filter needs: ``node`` (node_id, area) and ``operator`` (i, j, s), positive sign; other tables as they come.
+
+    ``grid`` is (nx, ny, cell area) of a closed uniform grid with ids ix * ny + iy, which cosine transforms can solve.
+    """
 
     node: DataFrame
     operator: DataFrame
     symmetric: bool = True
     more: dict[str, DataFrame] = field(default_factory=dict)
+    grid: tuple[int, int, float] | None = None
 
 
 NEEDED = {"node": {"node_id": "bigint", "area": "double"}, "operator": {"i": "bigint", "j": "bigint", "s": "double"}}
@@ -32,13 +36,13 @@ def save(mesh: PreparedMesh, path: str) -> None:
     spark = mesh.node.sparkSession
     for name, df in {"node": mesh.node, "operator": mesh.operator, **mesh.more}.items():
         checked(df, name).write.mode("overwrite").parquet(f"{path}/{name}")
-    spark.createDataFrame([(mesh.symmetric, sorted(mesh.more))], "symmetric boolean, more array<string>").write.mode("overwrite").parquet(f"{path}/meta")
+    spark.createDataFrame([(mesh.symmetric, sorted(mesh.more), *(mesh.grid or (None, None, None)))], "symmetric boolean, more array<string>, nx int, ny int, cell_area double").write.mode("overwrite").parquet(f"{path}/meta")
 
 
 def load(spark: SparkSession, path: str) -> PreparedMesh:
     meta = spark.read.parquet(f"{path}/meta").first()
     read = lambda n: checked(spark.read.parquet(f"{path}/{n}"), n)
-    return PreparedMesh(read("node"), read("operator"), meta["symmetric"], {n: read(n) for n in meta["more"]})
+    return PreparedMesh(read("node"), read("operator"), meta["symmetric"], {n: read(n) for n in meta["more"]}, (meta["nx"], meta["ny"], meta["cell_area"]) if meta["nx"] else None)
 
 
 def save_spectra(spectra: DataFrame, path: str) -> None:

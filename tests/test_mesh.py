@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshspark import queries as Q
-from meshspark.functions import scales
+from meshspark.functions import noise, scales
 from meshspark.operators import assembly, geometry, remap, topology
-from meshspark.plans import filters, solver
+from meshspark.plans import filters, prepare, solver
 from meshspark.sources import fixtures, models, store
 from meshspark.sources.store import PreparedMesh
 
@@ -156,6 +156,66 @@ def test_model_sources(spark):
     assert [r.lon for r in models.wrap_region(lon, -100, 90).collect()] == [-90.0, -10.0, 0.0, 90.0]
 
 
+def test_entry_points(spark):
+    """The parts put together by hand, full blocks, nodes in no element, and grids of every kind."""
+    el, nodes = topology.lattice(spark, 4, 3), fixtures.lattice_nodes(spark, 4, 3)
+    ge = geometry.triangle_geometry(el, nodes, "m")
+    want = {(r.i, r.j): r.s for r in assembly.stiffness(ge, geometry.node_areas(ge)).collect()}
+    lone = nodes.unionByName(spark.createDataFrame([(12, 9.0, 9.0)], "node_id long, x double, y double"))
+    mesh = prepare.prepare_triangular(lone, el, "m")
+    got = {(r.i, r.j): r.s for r in mesh.operator.collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    assert mesh.node.filter("node_id = 12").first().area == 1e-5 and mesh.node.count() == 13
+    out = filters.filter_field(mesh, field(spark, 13, float), 1.0)
+    assert out.filter("node_id = 12").first().filtered == pytest.approx(12.0)
+    land = el.withColumn("ocean", F.col("elem_id") < 4)
+    full = prepare.prepare_triangular(nodes, land, "m", full=True)
+    wet = {r.node_id for r in remap.mask_to_nodes(land).filter("ocean").collect()}
+    assert {r.i % 12 for r in full.operator.collect()} == wet and full.node.count() == 24
+    v = nodes.select(F.lit(0).cast("long").alias("snapshot_id"), "node_id", F.sin("x").alias("ux"), F.cos("y").alias("vy"))
+    kept = {r.node_id: (r.ux, r.vy) for r in filters.filter_velocity(full, v, 1.0, shift=12).collect()}
+    for r in v.collect():
+        assert (kept[r.node_id] == pytest.approx((r.ux, r.vy))) == (r.node_id not in wet)
+    curved = prepare.prepare_curvilinear(fixtures.nemo_cells(spark), kind="periodic")
+    assert curved.node.count() == 30 and not curved.symmetric
+
+
+def test_spectral_tier(spark, tmp_path):
+    mesh, n = Q.uniform(spark, 4, 3), 12
+    store.save(mesh, f"file://{tmp_path}/g")
+    mesh = store.load(spark, f"file://{tmp_path}/g")
+    assert mesh.grid == (4, 3, 1.0)
+    f = field(spark, n, lambda i: i % 5)
+    by = lambda tier: solved(filters.filter_field(mesh, f, 0.7, 2, solver=tier))
+    assert np.allclose(by("spectral"), by("local"))
+    scale = spark.range(n).select(F.col("id").alias("node_id"), (1.0 + F.col("id")).alias("k"))
+    with pytest.raises(ValueError, match="one scale"):
+        filters.filter_field(mesh, f, scale, solver="spectral")
+    with pytest.raises(ValueError, match="uniform grid"):
+        filters.filter_field(Q.uniform(spark, 4, 3, "periodic"), f, 1.0, solver="spectral")
+    with pytest.raises(Exception, match="cover"):
+        filters.filter_field(mesh, f.filter("node_id < 5"), 1.0, solver="spectral").collect()
+
+
+def test_local_tier_has_a_bound(spark, monkeypatch):
+    mesh, f = Q.uniform(spark, 4, 3), field(spark, 12, lambda i: i % 5)
+    want = solved(filters.filter_field(mesh, f, 2.0))
+    monkeypatch.setattr(solver, "LOCAL_ENTRIES", 10)
+    monkeypatch.setattr(solver, "BASIS_ROWS", 10)
+    with pytest.raises(ValueError, match="more than 10 entries"):
+        filters.filter_field(mesh, f, 2.0, solver="local")
+    assert np.allclose(solved(filters.filter_field(mesh, f, 2.0)), want)
+    scale = spark.range(12).select(F.col("id").alias("node_id"), (2.0 + F.col("id") % 2).alias("k"))
+    assert np.isfinite(solved(filters.filter_field(mesh, f, scale))).all()
+
+
+def test_red_noise(spark):
+    rows = [(0, [float(i * 7 % 11) for i in range(12)]), (1, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").select("id", noise.red_noise(F.col("v"), 4, 3).alias("r"))
+    got = {r.id: r.r for r in df.collect()}
+    assert got[1] is None and len(got[0]) == 12 and sum(got[0]) == pytest.approx(0)
+
+
 def test_store_and_masks(spark, tmp_path):
     mesh = Q.tri_mesh(spark)
     store.save(mesh, f"file://{tmp_path}/m")
