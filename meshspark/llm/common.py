@@ -16,12 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is configured (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a single machine has its own where that is unset (tests), a cluster raises."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
