@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, kd_shards, maxent_lm, mixing, near_dedup, quality, repair, secrets, sql, toxicity
+from . import ann, bpe, kd_shards, maxent_lm, mixing, near_dedup, quality, repair, repeats, secrets, sql, toxicity
 from .common import table
 
 
@@ -61,8 +61,13 @@ def op10_mixing(spark, sf_dir):
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op11_repeats(spark, sf_dir):
+    cut = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_lm_scores, op4_near_dedup, op5_token_shards, op6_quality, op7_shards, op8_ann, op9_toxicity, op10_mixing)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_lm_scores, op4_near_dedup, op5_token_shards, op6_quality, op7_shards, op8_ann, op9_toxicity, op10_mixing, op11_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
