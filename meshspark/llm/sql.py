@@ -107,5 +107,43 @@ drawn AS (SELECT *, (upto >> 24) - ((upto - units) >> 24) AS copies FROM summed)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies::BIGINT AS copies FROM drawn"""
 
 
+def conversations() -> str:
+    """Damage, faults, and cheapest edits by a recursion over turns that carries the best (cost, audit, lines) of each state."""
+    byte = "list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    crc = f"xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(k, ''), lambda ch: ord(ch)::BIGINT), lambda c, b: {byte}), 4294967295) % 20"
+    best = lambda *c: f"list_min([{', '.join(c)}])"
+    grow = lambda s, cost, letter, line: f"CASE WHEN {s} IS NOT NULL THEN {{'c': {s}.c + {cost}, 'a': {s}.a || '{letter}', 'o': {s}.o || {line}}} END"
+    none, own, new = "[]::VARCHAR[]", "[role || ':' || text]", "['%s:' || text]"
+    gone = lambda s: grow(s, 3, "D", none)
+    keep = lambda s, i: f"CASE WHEN fault NOT IN (1, 2) AND initial = '{i}' THEN {grow(s, 'trunc', 'K', own)} END"
+    turn = lambda s, role: f"CASE WHEN fault NOT IN (1, 2) THEN {grow(s, '2 + trunc', 'R', new % role)} END"
+    put = lambda s, role: grow(s, 2, "I", f"['{role}:']")
+    u = best("t2", put("t0", "user"), put("t1", "user"), put("t3", "user"))
+    to2 = [gone("s2"), *[x for s in ("s0", "s1", "s3") for x in (keep(s, "u"), turn(s, "user"))]]
+    edge = "coalesce(lag(initial) OVER w || initial, 'su') NOT IN ('su', 'ua', 'au')"
+    state = "STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
+    return f"""WITH RECURSIVE plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+hit AS (SELECT *, {crc} AS x FROM plain),
+damaged AS (SELECT conv_id, turn, CASE WHEN x = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN x = 1 THEN '' WHEN x = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN x = 0 THEN 0 WHEN x = 3 THEN 2 ELSE 1 END)) AS copy FROM hit),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS rn FROM damaged),
+marked AS (SELECT conv_id, turn, role, text, rn, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY rn) AS seen FROM ordered),
+faulty AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM marked),
+d AS (SELECT *, (fault = 3)::BIGINT AS trunc, {edge} AS bad, count(*) OVER (PARTITION BY conv_id) AS n FROM faulty WINDOW w AS (PARTITION BY conv_id ORDER BY rn)),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'o': {none}}}::{state} AS s0, NULL::{state} AS s1, {{'c': 2, 'a': 'I', 'o': ['user:']}}::{state} AS s2, {{'c': 4, 'a': 'II', 'o': ['user:', 'assistant:']}}::{state} AS s3 FROM (SELECT DISTINCT conv_id FROM d) z
+  UNION ALL
+  SELECT conv_id, i, t0, t1, u, {best("t3", put("u", "assistant"))} FROM (
+    SELECT *, {u} AS u FROM (
+      SELECT w.conv_id, d.rn AS i, {gone("s0")} AS t0, {best(gone("s1"), keep("s0", "s"))} AS t1, {best(*to2)} AS t2, {best(gone("s3"), keep("s2", "a"), turn("s2", "assistant"))} AS t3
+      FROM walk w JOIN d ON d.conv_id IS NOT DISTINCT FROM w.conv_id AND d.rn = w.i + 1) a) b),
+ends AS (SELECT walk.conv_id, {best("s0", "s3")} AS e FROM walk JOIN (SELECT DISTINCT conv_id, n FROM d) z ON z.conv_id IS NOT DISTINCT FROM walk.conv_id AND z.n = walk.i),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (bad) AS illegal FROM d GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(e.c, 0)::BIGINT AS cost, coalesce(e.a, '') AS audit, sha256(coalesce(array_to_string(e.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends ON ends.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secrets": secrets(), "op4_near_dedup": near_dedup(), "op6_quality": quality(), "op10_mixing": mixing()}
+    return {"op2_secrets": secrets(), "op4_near_dedup": near_dedup(), "op6_quality": quality(), "op10_mixing": mixing(), "op13_conversations": conversations()}
