@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import ann, bpe, conversations, kd_shards, maxent_lm, mixing, near_dedup, quality, repair, repeats, secrets, sql, toxicity
+from . import ann, bpe, conversations, kd_shards, maxent_lm, mixing, near_dedup, quality, repair, repeats, secrets, sql, toxicity, whitening
 from .common import table
 
 
@@ -66,12 +66,16 @@ def op11_repeats(spark, sf_dir):
     return cut.select("doc.doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversations(spark, sf_dir):
     return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_lm_scores, op4_near_dedup, op5_token_shards, op6_quality, op7_shards, op8_ann, op9_toxicity, op10_mixing, op11_repeats, op13_conversations)}
+    return {f.__name__: f for f in (op1_bpe, op2_secrets, op3_lm_scores, op4_near_dedup, op5_token_shards, op6_quality, op7_shards, op8_ann, op9_toxicity, op10_mixing, op11_repeats, op12_whitening, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
