@@ -24,10 +24,10 @@ import numpy as np
 BLOCK = 1 << 16
 #: Tuples of a block where a bucket holds several symbols.
 SMALL = 1 << 11
-#: A string of names this short ends the recursion: it is sorted by doubling prefixes in memory.
-BASE = 1 << 15
+#: A string of names that fits in memory ends the recursion: it is sorted by doubling prefixes there.
+BASE = 1 << 21
 #: Tuples (24 bytes each) and entries of work arrays held in memory.
-MEMORY = 1 << 22
+MEMORY = 1 << 21
 
 
 def scratch(n: int, dtype, memory: int = MEMORY) -> np.ndarray:
@@ -45,7 +45,7 @@ class Queue:
         self.n, self.file, self.end = 0, None, 0
 
     def push(self, rows: np.ndarray) -> None:
-        at = np.searchsorted(self.bounds, rows[:, 0], "right")
+        at = np.searchsorted(self.bounds, rows[:, 0], "right").astype(np.uint16)
         order = np.argsort(at, kind="stable")
         rows, at = rows[order], at[order]
         cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), len(at)]
@@ -121,11 +121,12 @@ def induce(key, target, run, seeds, seed_lcp, first, cap: int, memory: int, visi
     queue when their successor is scanned; ``first`` are rows that the queue starts with.
     """
     n_keys = int(key.max()) + 1
+    narrow = np.uint16 if n_keys <= 1 << 16 else np.int64  # a radix sort for keys of 16 bits
     if single := n_keys <= 512:
         bounds = np.arange(1, n_keys)
     else:
         total = np.cumsum(np.bincount(key, minlength=n_keys))
-        parts = max(64, 8 * len(key) // memory)
+        parts = min(1 << 15, max(64, 8 * len(key) // memory))
         bounds = np.unique(np.searchsorted(total, np.arange(1, parts) * (len(key) / parts)) + 1)
     queue, least, last = Queue(bounds, memory), Least(), np.full(n_keys, -1, np.int64)
     seed_key = key[seeds].astype(np.int64)
@@ -148,7 +149,7 @@ def induce(key, target, run, seeds, seed_lcp, first, cap: int, memory: int, visi
         r0, fresh = least.n, np.empty((len(t), 3), np.int64)
         if len(t):
             fresh[:, 0], fresh[:, 1] = key[prev[t]], prev[t]
-            o = np.argsort(fresh[:, 0], kind="stable")
+            o = np.argsort(fresh[:, 0].astype(narrow), kind="stable")
             pk, ts = fresh[o, 0], t[o]
             head = np.append(True, pk[1:] != pk[:-1])
             value = np.empty(len(o), np.int64)
@@ -237,17 +238,34 @@ def _matched(text, a, b, most) -> np.ndarray:
 
 
 def _doubling(text: np.ndarray, cap: int):
-    """Suffix array and common prefixes of a short string."""
-    n, rank, step = len(text), np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+    """Suffix array of a string in memory, as far as ``cap`` symbols tell, and common prefixes up to ``cap``.
+
+    The ranks of every doubled length are kept, so that a common prefix is found by halving lengths.
+    """
+    n, step = len(text), 1
+    ranks = [np.unique(text, return_inverse=True)[1].astype(np.int32)]
     while True:
-        key = rank * (n + 1) + np.append(rank[step:] + 1, np.zeros(min(step, n), np.int64))
-        order = np.argsort(key, kind="stable")
-        new = np.append(0, np.cumsum(key[order][1:] != key[order][:-1]))
-        rank[order] = new
-        if new[-1] == n - 1:
-            break
+        rank = ranks[-1]
+        key = rank.astype(np.int64) * (n + 1)
+        key[: max(n - step, 0)] += rank[step:] + 1
+        order = np.argsort(key)
+        key = key[order]
+        new = np.append(0, np.cumsum(key[1:] != key[:-1]))
         step *= 2
-    return order, np.append(0, _matched(text, order[:-1], order[1:], np.full(n - 1, cap)))
+        if new[-1] == n - 1 or step >= cap:
+            break
+        rank = np.empty(n, np.int32)
+        rank[order] = new
+        ranks.append(rank)
+    a, b, lcp = order[:-1], order[1:], np.zeros(n - 1, np.int64)
+    for k in reversed(range(len(ranks))):
+        # a shorter rest ends in the only 0, so ranks of different lengths never agree there
+        for _ in range(2 if k == len(ranks) - 1 else 1):
+            i, j = a + lcp, b + lcp
+            t = np.flatnonzero((i < n) & (j < n))
+            t = t[ranks[k][i[t]] == ranks[k][j[t]]]
+            lcp[t] += 1 << k
+    return order, np.append(0, np.minimum(lcp, cap))
 
 
 def sort_suffixes(text: np.ndarray, cap: int, visit, memory: int = MEMORY, base: int = BASE) -> None:

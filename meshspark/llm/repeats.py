@@ -30,7 +30,7 @@ from .induced import repeated
 
 PIECE = 1 << 18
 #: Bytes of segments that a task sorts at a time, where they are not all of one hash.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 HOT_BYTES = 64 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
