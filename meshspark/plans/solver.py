@@ -3,8 +3,9 @@
 ``local``: an operator of checked size is broadcast as CSR and every right-hand side is solved in the
 task that holds it, so work scales with the number of fields.  ``distributed``: conjugate gradients
 as DataFrame steps for operators beyond that size, all right-hand sides advancing together.
+``blocks``: stabilised biconjugate gradients over blocks of nodes, for operators of any size, symmetric or not.
 ``spectral``: two matrix products on a closed uniform grid.  ``auto`` takes ``local`` up to LOCAL_ENTRIES
-entries, then ``spectral`` where the mesh is such a grid and each field has one scale, else ``distributed``.
+entries, then ``spectral`` where the mesh is such a grid and each field has one scale, else ``blocks``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..sources.store import PreparedMesh
 from ..sources.tables import cut, removed
+from .blocks import blocked_solve
 
 #: Entries of an operator that may be broadcast (about 24 bytes each).
 LOCAL_ENTRIES = 4_000_000
@@ -225,7 +227,7 @@ def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, so
     """(fields, filtered) by the tier named; ``local`` raises for an operator beyond LOCAL_ENTRIES."""
     if order < 1:
         raise ValueError("the order must be at least 1")
-    if solver not in ("auto", "local", "distributed", "spectral"):
+    if solver not in ("auto", "local", "distributed", "blocks", "spectral"):
         raise NotImplementedError(f"solver {solver!r}")
     if solver == "spectral" and not (mesh.grid and _one_scale(fields, keys)):
         raise ValueError("cosine transforms need a closed uniform grid and one scale for each field")
@@ -240,7 +242,10 @@ def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, so
             return out
         if solver == "local":
             raise ValueError(f"the operator has more than {LOCAL_ENTRIES} entries")
-        solver = "spectral" if mesh.grid and _one_scale(fields, keys) else "distributed"
+        solver = "spectral" if mesh.grid and _one_scale(fields, keys) else "blocks"
     if solver == "spectral":
         return _spectral(mesh, fields, keys, order)
+    if solver == "blocks":
+        _check_cover(mesh, fields, keys)
+        return blocked_solve(mesh, fields, keys, order, tol, most)
     return distributed_solve(mesh, fields, keys, order, tol, most)

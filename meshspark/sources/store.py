@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 @dataclass
 class PreparedMesh:
-    """What a filter needs: ``node`` (node_id, area) and ``operator`` (i, j, s), positive sign; other tables as they come.
+    """What a filter needs: ``node`` (node_id, area[, x, y]) and ``operator`` (i, j, s), positive sign; other tables as they come.
 
     ``grid`` is (nx, ny, cell area) of a closed uniform grid with ids ix * ny + iy, which cosine transforms can solve.
     """
@@ -19,6 +19,7 @@ class PreparedMesh:
     symmetric: bool = True
     more: dict[str, DataFrame] = field(default_factory=dict)
     grid: tuple[int, int, float] | None = None
+    cache: dict = field(default_factory=dict, repr=False, compare=False)  # what solves make once, never saved
 
 
 NEEDED = {"node": {"node_id": "bigint", "area": "double"}, "operator": {"i": "bigint", "j": "bigint", "s": "double"}}
