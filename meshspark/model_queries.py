@@ -20,46 +20,47 @@ def _one_based(elements, name):
     return elements.withColumn(name, F.transform("nodes", lambda n: (n + 1).cast("int"))).drop("nodes")
 
 
-def _tri_source(spark):
-    nodes = fixtures.tri_nodes_sphere(spark).withColumnsRenamed({"x": "lon", "y": "lat"})
-    return models.triangle_mesh(nodes, _one_based(topology.lattice(spark, 6, 6), "face_nodes"))
+def _tri_source(spark, sf_dir):
+    c = Q.customers(spark, sf_dir)
+    return models.triangle_mesh(c.nodes.select("node_id", "lon", "lat"), _one_based(c.elements, "face_nodes"))
 
 
 @query(f"WITH {Q.SPH}, {ST} SELECT i, j, {s6('s', 's', 9)} FROM st")
 def prepare_triangular(spark, sf_dir):
-    mesh = prepare.prepare_triangular(*_tri_source(spark), cartesian=False)
+    mesh = prepare.prepare_triangular(*_tri_source(spark, sf_dir), cartesian=False)
     return mesh.operator.select("i", "j", r6(F.col("s"), "s", 9))
 
 
-_LAND = "gm AS (SELECT * REPLACE (CASE WHEN elem_id % 7 < 4 THEN elem_area ELSE 0 END AS elem_area) FROM ge)"
+_LAND = "gm AS (SELECT ge.* REPLACE (CASE WHEN me.ocean THEN elem_area ELSE 0 END AS elem_area) FROM ge JOIN me USING (elem_id))"
 
 
-@query(f"WITH {EL}, {NDS}, {GES}, {_LAND}, {CO.replace('FROM ge', 'FROM gm')}, {Q.AR}, {ST}, {INC}, {_MEL}, {_MNODE} SELECT i, j, {s6('s', 's', 9)} FROM st JOIN mn a ON a.node_id = i AND a.ocean JOIN mn b ON b.node_id = j AND b.ocean")
+@query(f"WITH {EL}, {NDS}, {GES}, {_MEL}, {_LAND}, {CO.replace('FROM ge', 'FROM gm')}, {Q.AR}, {ST}, {INC}, {_MNODE} SELECT i, j, {s6('s', 's', 9)} FROM st JOIN mn a ON a.node_id = i AND a.ocean JOIN mn b ON b.node_id = j AND b.ocean")
 def prepare_radian_mesh_masked(spark, sf_dir):
     """Coordinates in radians, 1-based cells, land from the mask's sign."""
-    nodes = fixtures.tri_nodes_sphere(spark).select("node_id", F.radians("x").alias("vlon"), F.radians("y").alias("vlat"))
-    cells = _one_based(topology.lattice(spark, 6, 6), "vertex_of_cell").withColumn("cell_sea_land_mask", F.when(F.col("elem_id") % 7 < 4, -1).otherwise(1))
+    c = Q.customers(spark, sf_dir)
+    nodes = c.nodes.select("node_id", F.radians("lon").alias("vlon"), F.radians("lat").alias("vlat"))
+    cells = _one_based(Q.tri_masked(c), "vertex_of_cell").withColumn("cell_sea_land_mask", F.when(F.col("ocean"), -1).otherwise(1)).drop("ocean")
     mesh = prepare.prepare_triangular(*models.icon_mesh(nodes, cells, mask=True), cartesian=False)
     return mesh.operator.select("i", "j", r6(F.col("s"), "s", 9))
 
 
-_MASKS = ", ".join(f"{b} + (id * {p} % {q}) / {q}.0::DOUBLE AS {n}" for n, (b, p, q) in fixtures.NEMO_METRICS.items())
+_MASKS = ", ".join(f"{b} + ((c_custkey + 31 * c_nationkey) * {p} % {q}) / {q}.0::DOUBLE AS {n}" for n, (b, p, q) in fixtures.NEMO_METRICS.items())
 _METRICS = list(fixtures.NEMO_METRICS)
 
 
 @query(
-    f"WITH mm AS (SELECT id, (id // 7) % 8 AS x, id % 7 AS y, id // 56 AS z, {_MASKS}, id % 11 <> 3 AS ocean FROM range(112) t(id)) "
-    f"SELECT r AS redundant, x * (7 - r) + y AS cell_id, {', '.join(s6(n, n) for n in _METRICS)}, ocean FROM mm, (VALUES (2::BIGINT), (3::BIGINT)) v(r) WHERE z = 1 AND x < 8 - r AND y < 7 - r"
+    f"WITH w AS (SELECT count(*) // 2 AS half, count(*) // 2 // 15 AS ny FROM customer), mm AS (SELECT (c_custkey % half) // ny AS x, (c_custkey % half) % ny AS y, c_custkey // half AS z, ny, {_MASKS}, c_nationkey % 11 <> 3 AS ocean FROM customer, w) "
+    f"SELECT r AS redundant, x * (ny - r) + y AS cell_id, {', '.join(s6(n, n) for n in _METRICS)}, ocean FROM mm, (VALUES (2::BIGINT), (3::BIGINT)) v(r) WHERE z = 1 AND x < 15 - r AND y < ny - r"
 )
 def source_curvilinear_level(spark, sf_dir):
     """One level, two or three redundant rows and columns trimmed, metres to km."""
-    one = lambda r: models.nemo_grid(fixtures.mesh_mask(spark), 1, r).select(F.lit(r).cast("long").alias("redundant"), "cell_id", *[r6(F.col(n), n) for n in _METRICS], "ocean")
+    one = lambda r: models.nemo_grid(fixtures.level_mask(spark, sf_dir), 1, r).select(F.lit(r).cast("long").alias("redundant"), "cell_id", *[r6(F.col(n), n) for n in _METRICS], "ocean")
     return one(2).unionByName(one(3))
 
 
 _WRAP = "CASE WHEN {d} > pi() THEN {d} - 2 * pi() WHEN {d} < -pi() THEN {d} + 2 * pi() ELSE {d} END"
 _PLM = (
-    f"{grid_sql(6, 5, 'periodic')}, lc AS (SELECT c AS cell_id, (c // 5) * 60.0::DOUBLE + (c // 5) % 2 * 10 AS lon, 10.0::DOUBLE + 3 * (c % 5) AS lat FROM range(30) t(c)), ln AS (SELECT cell_id, "
+    f"{grid_sql(50, 25, 'periodic')}, {Q.latlon_sql(7.2, 10.0)}, ln AS (SELECT cell_id, "
     + ", ".join(f"max(CASE WHEN dir = {k} THEN l.lon END) AS lon{k}, max(CASE WHEN dir = {k} THEN l.lat END) AS lat{k}" for k in range(4))
     + " FROM nb JOIN (SELECT cell_id AS nbr_id, lon, lat FROM lc) l USING (nbr_id) GROUP BY 1), "
     f"lh AS (SELECT cell_id, coalesce(n, s) AS hc1, coalesce(s, n) AS hc3, 6400 * cm * {_WRAP.format(d='w')} AS hc0, 6400 * cm * {_WRAP.format(d='e')} AS hc2 FROM (SELECT cell_id, 6400 * radians(lat1 - lat) AS n, 6400 * radians(lat - lat3) AS s, radians(lon - lon0) AS w, radians(lon2 - lon) AS e, cos(radians((2 * lat + coalesce(lat1, lat) + coalesce(lat3, lat)) / 4)) AS cm FROM lc JOIN ln USING (cell_id))), "
@@ -71,9 +72,7 @@ _PLM = (
 @query(f"WITH {_PLM} SELECT i, j, {s6('sum(s)', 's', 9)} FROM ({Q._CLOSE}) WHERE i % 7 <> 3 AND j % 7 <> 3 GROUP BY 1, 2")
 def prepare_latlon_masked_periodic(spark, sf_dir):
     """All the way round the sphere, so that differences unwrap, with land."""
-    lon = spark.range(6).select(F.col("id").cast("int").alias("ix"), (F.col("id") * 60.0 + F.col("id") % 2 * 10).alias("lon"))
-    lat = spark.range(5).select(F.col("id").cast("int").alias("iy"), (10.0 + 3.0 * F.col("id")).alias("lat"))
-    cells = models.latlon_grid(lon, lat).withColumn("ocean", F.col("cell_id") % 7 != 3)
+    cells = Q._latlon_cells(spark, sf_dir, 7.2, 10.0).withColumn("ocean", F.col("cell_id") % 7 != 3)
     return prepare.prepare_latlon(cells, local=False).operator.select("i", "j", r6(F.col("s"), "s", 9))
 
 
@@ -110,26 +109,30 @@ def rotated_pole(spark, sf_dir):
     return c.select("c_custkey", r6(lon, "lon"), r6(lat, "lat"))
 
 
-def _over_date_line(spark):
+def _over_date_line(lattice):
     """The spherical lattice, moved so that it lies on both sides of the date line."""
-    return fixtures.tri_nodes_sphere(spark).withColumn("x", F.pmod(F.col("x") + 175 + 180, F.lit(360.0)) - 180)
+    return Q.sphere(lattice).withColumn("x", F.pmod(F.col("x") + 175 + 180, F.lit(360.0)) - 180)
 
 
 @query(f"WITH {Q.SPH} SELECT elem_id, {s6('elem_area', 'elem_area', 4)}, {', '.join(s6(c, c, 9) for c in ('dx0', 'dx1', 'dx2', 'dy0', 'dy1', 'dy2', 'mt'))} FROM ge")
 def tri_geometry_dateline(spark, sf_dir):
     """Geometry does not see the date line: the check is the same mesh elsewhere."""
-    ge = geometry.triangle_geometry(topology.lattice(spark, 6, 6), _over_date_line(spark), "r", cartesian=False)
+    c = Q.customers(spark, sf_dir)
+    ge = geometry.triangle_geometry(c.elements, _over_date_line(c), "r", cartesian=False)
     return ge.select("elem_id", r6(F.col("elem_area"), "elem_area", 4), *[r6(F.col(c), c, 9) for c in ("dx0", "dx1", "dx2", "dy0", "dy1", "dy2", "mt")])
 
 
 @query(f"WITH {EL}, {NDS}, {INC}, sh AS (SELECT node_id, CASE WHEN x + 175 >= 180 THEN x + 175 - 360 ELSE x + 175 END AS x FROM nd) SELECT elem_id FROM inc JOIN sh USING (node_id) GROUP BY 1 HAVING max(x) - min(x) < 10")
 def date_line_elements(spark, sf_dir):
-    return topology.date_line_free(topology.lattice(spark, 6, 6), _over_date_line(spark)).select("elem_id")
+    c = Q.customers(spark, sf_dir)
+    return topology.date_line_free(c.elements, _over_date_line(c)).select("elem_id")
 
 
-@query(f"SELECT (i + 1)::BIGINT AS scale_idx, {s6('2 * pi() / pow(10.0, 2 + (log10(5000.0::DOUBLE) - 2) * i / 19)', 'k', 9)} FROM range(20) t(i)")
+@query(f"WITH w AS (SELECT log10(100.0::DOUBLE * min(p_size)) AS a, log10(100.0::DOUBLE * max(p_size)) AS b FROM part) SELECT (i + 1)::BIGINT AS scale_idx, {s6('2 * pi() / pow(10.0, a + (b - a) * i / 19)', 'k', 9)} FROM w, range(20) t(i)")
 def scales_log(spark, sf_dir):
-    return scales.log_scales(spark, 20, 100, 5000).select(F.col("scale_idx").cast("long").alias("scale_idx"), r6(F.col("k"), "k", 9))
+    """Twenty scales between the smallest and the largest part."""
+    w = load_table(spark, sf_dir, "part").agg(F.min("p_size").alias("a"), F.max("p_size").alias("b")).first()
+    return scales.log_scales(spark, 20, 100 * w["a"], 100 * w["b"]).select(F.col("scale_idx").cast("long").alias("scale_idx"), r6(F.col("k"), "k", 9))
 
 
 _FREQ = "CASE WHEN {m} > 4 THEN {m} - 8 ELSE {m} END"
@@ -167,9 +170,10 @@ def filter_spectral_tier(spark, sf_dir):
 
 # a triangular mesh that holds all of li_grid
 
+_JX, _JY = "(id * 7919 % 101) / 101.0 * 0.3", "(id * 104729 % 97) / 97.0 * 0.3"
 _BIG = (
     "el AS (SELECT 2 * (n * 9 + q) + h AS elem_id, CASE WHEN h = 0 THEN n * 10 + q ELSE n * 10 + q + 1 END AS n0, CASE WHEN h = 0 THEN n * 10 + q + 1 ELSE (n + 1) * 10 + q + 1 END AS n1, (n + 1) * 10 + q AS n2 FROM range(11) a(n), range(9) b(q), range(2) c(h)), "
-    f"nd AS (SELECT id AS node_id, (id // 10) + {Q.JX} AS x, (id % 10) + {Q.JY} AS y FROM range(120) t(id)), {Q.GE}, {CO}, {Q.AR}, {ST}, op AS (SELECT * FROM st), {LI}, tf AS (SELECT ix * 10 + iy AS node_id, value FROM li), phi AS (SELECT node_id AS i, value AS v FROM tf)"
+    f"nd AS (SELECT id AS node_id, (id // 10) + {_JX} AS x, (id % 10) + {_JY} AS y FROM range(120) t(id)), {Q.GE}, {CO}, {Q.AR}, {ST}, op AS (SELECT * FROM st), {LI}, tf AS (SELECT ix * 10 + iy AS node_id, value FROM li), phi AS (SELECT node_id AS i, value AS v FROM tf)"
 )
 _K8 = PI2 / 8
 
@@ -178,13 +182,13 @@ def big_mesh(spark):
     return prepare.prepare_triangular(fixtures.lattice_nodes(spark, 12, 10), topology.lattice(spark, 12, 10), "m")
 
 
-@query(f"WITH RECURSIVE {_BIG}, dk AS (SELECT i, {1 / K4**2} AS d FROM range(120) t(i)), {jacobi(120, 500, 0.7)} SELECT i AS node_id, {s6('z', 'filtered')} FROM sol")
+@query(f"WITH RECURSIVE {_BIG}, dk AS (SELECT i, {1 / K4**2} AS d FROM range(120) t(i)), {jacobi(500, 0.7)} SELECT i AS node_id, {s6('z', 'filtered')} FROM sol")
 def filter_tri_whole(spark, sf_dir):
     return filters.filter_field(big_mesh(spark), fixtures.li_grid(spark, sf_dir), K4).select("node_id", r6(F.col("filtered"), "filtered"))
 
 
 @query(
-    f"WITH RECURSIVE {_BIG}, dk AS (SELECT i, {1 / _K8**2} AS d FROM range(120) t(i)), {jacobi(120, 800, 0.7)} "
+    f"WITH RECURSIVE {_BIG}, dk AS (SELECT i, {1 / _K8**2} AS d FROM range(120) t(i)), {jacobi(800, 0.7)} "
     f"SELECT 0::BIGINT AS scale_idx, {s6('sum(area * value * value) / sum(area)', 'energy')} FROM tf JOIN ar USING (node_id) UNION ALL "
     f"SELECT 1, {s6('sum(area * (z - value) * (z - value)) / sum(area)', 'energy')} FROM tf JOIN ar USING (node_id) JOIN sol ON i = node_id"
 )

@@ -15,6 +15,14 @@ def lattice(spark: SparkSession, nx: int, ny: int) -> DataFrame:
     return spark.range((nx - 1) * (ny - 1)).select("id", F.posexplode(pair).alias("half", "nodes")).select((2 * F.col("id") + F.col("half")).alias("elem_id"), F.col("nodes").cast("array<bigint>").alias("nodes"))
 
 
+def lattice_over(nodes: DataFrame, ny: int, n: int) -> DataFrame:
+    """The same over rows (node_id, ix, iy) of n nodes in columns of ``ny``; a last column that is not full has no quads."""
+    at = lambda dq, dn: F.col("node_id") + dn * ny + dq
+    pair = F.array(F.array(at(0, 0), at(1, 0), at(0, 1)), F.array(at(1, 0), at(1, 1), at(0, 1)))
+    quads = nodes.filter((F.col("iy") < ny - 1) & (F.col("node_id") + ny + 1 < n))
+    return quads.select((F.col("ix") * (ny - 1) + F.col("iy")).alias("q"), F.posexplode(pair).alias("half", "nodes")).select((2 * F.col("q") + F.col("half")).alias("elem_id"), F.col("nodes").cast("array<bigint>").alias("nodes"))
+
+
 def incidence(elements: DataFrame) -> DataFrame:
     """(elem_id, k, node_id): one row for each corner."""
     return elements.select("elem_id", F.posexplode("nodes").alias("k", "node_id"))
@@ -95,7 +103,8 @@ def north_fold(points: DataFrame, precision: float = 1e-5) -> tuple[DataFrame, i
     pairs = ref.join(other, ["ilon", "n"])
     if pairs.count() < width - 2:
         raise ValueError("a column of the fold has no partner")
-    step = pairs.withColumn("diff", F.col("match_x") - F.lag("match_x").over(Window.orderBy("ref_x")))  # one row of the mesh
+    before = pairs.select((F.col("ref_x") + 1).alias("ref_x"), F.col("match_x").alias("before_x"))  # every inner column has its pair
+    step = pairs.join(before, "ref_x", "left").withColumn("diff", F.col("match_x") - F.col("before_x"))
     mean = step.agg(F.avg(F.abs("diff"))).first()[0]
     line = step.filter(F.abs("diff") < 1.5 * mean).agg(F.regr_slope("match_x", "ref_x").alias("a"), F.regr_intercept("match_x", "ref_x").alias("b")).first()
     found = pairs.select("ref_x", F.bround(line["a"] * F.col("ref_x") + line["b"], 0).cast("long").alias("adjacent_x"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import assembly, geometry, remap, topology
+from ..sources import models
 from ..sources.store import PreparedMesh
 
 
@@ -46,3 +47,17 @@ def prepare_curvilinear(cells: DataFrame, fold: DataFrame | None = None, kind: s
     nb = topology.grid_neighbours(cells, *_extent(cells), kind, fold)
     metrics = geometry.nemo_metrics(cells, nb, strict)
     return PreparedMesh(metrics.select(F.col("cell_id").alias("node_id"), "area"), assembly.nemo_operator(nb, metrics, cells), symmetric=False)
+
+
+def prepare_mesh_mask(mesh: DataFrame, level: int, mask: bool = True, kind: str = "fold", strict: bool = False) -> PreparedMesh:
+    """From a mesh-mask table (x, y[, z], glamt, metrics in metres) to the operator of one level in one call.
+
+    With ``fold`` the grid's last row is matched with the one it repeats: the match says how many rows
+    and columns are redundant and which cells meet across the fold.  Other kinds trim two rows and columns.
+    """
+    fold, redundant = None, 2
+    if kind == "fold":
+        flat = mesh.filter(F.col("z") == level) if "z" in mesh.columns else mesh
+        fold, row = topology.north_fold(flat.select("x", "y", F.col("glamt").alias("lon")))
+        redundant = -row
+    return prepare_curvilinear(models.nemo_grid(mesh, level, redundant, mask), fold, kind, strict)
