@@ -186,7 +186,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, target: float = 0.9
     if len(some):
         q_ids, q = some.column("id").to_numpy(), matrix(some.column("v"))
         truth = exact_top(ok, q_ids, q, k).select("query_id", "id")
-        own = truth.join(ok, "id").select("query_id", "v").toArrow()  # at most CALIBRATION x k rows
+        own = truth.join(ok, "id").groupBy("query_id", "id").agg(F.min("v").alias("v")).select("query_id", "v").toArrow()  # at most CALIBRATION x k rows
         if len(own):
             leaf = tree.assign(matrix(own.column("v")))
             order = {int(i): {x: p for p, x in enumerate(tree.visits(v, tree.n_leaves))} for i, v in zip(q_ids, q)}

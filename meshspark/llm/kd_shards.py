@@ -3,18 +3,19 @@
 Each node splits along its widest dimension at a weighted quantile, until a leaf holds about the
 target bytes.  A level of the tree is a handful of small aggregations over a written table of
 metadata (no text): one for the extents of all nodes, and a radix search of the quantiles of all
-nodes at once, whose histograms have at most nodes x 4096 rows.  Cuts are joined back as a table of
-at most as many rows as shards.
+nodes at once, whose histograms of at most nodes x 4096 rows stay in Spark: a row for each node comes
+back.  Cuts are joined as a table of at most as many rows as shards.
 
 Null texts weigh nothing but the fixed 16 bytes a row.  Null metadata count as 0.  Ties on a
-dimension are broken by a hash of the row; rows equal in id and text stay together.  Slots number
-the rows of a shard from 0, by (id, text checksum).
+dimension are broken by a hash of the row and its place in the input, so rows equal in id and text can
+part too.  Slots number the rows of a shard from 0, by (id, text checksum).  Very long texts are never
+cut; an empty table gives an empty result; further columns are not read and cannot clash.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import with_running_sum, written
@@ -54,25 +55,21 @@ def kd_assign(meta: DataFrame, dims: list[str], size: str, tie: Column, shards:
         value = F.get(F.array(*[F.col(c).cast("double") for c in dims]), F.col("_dim"))
         place = F.least(F.floor((value - F.col("_lo")) / F.col("_span") * (HALF - 1)), F.lit(HALF - 1)).cast("long")
         keyed = now.join(how, "_node", "left").withColumn("_key", place * HALF + F.pmod(F.col("_tie"), F.lit(HALF)))
-        prefix, below = {p[0]: 0 for p in plan}, {p[0]: 0.0 for p in plan}
+        prefix, below, at_cut = {p[0]: 0 for p in plan}, {p[0]: 0.0 for p in plan}, {}
         want = {p[0]: p[4] for p in plan}
         for r in range(ROUNDS):
             shift = BITS * (ROUNDS - 1 - r)
-            at = F.broadcast(spark.createDataFrame(list(prefix.items()), "_n long, _prefix long"))
-            hist = keyed.join(at, F.col("_node") == F.col("_n")).filter(F.shiftright("_key", shift + BITS) == F.col("_prefix")).groupBy("_node", F.shiftright("_key", shift).alias("bin")).agg(F.sum(size).alias("w")).collect()
-            by: dict = {}
-            for node, b, w in hist:
-                by.setdefault(node, []).append((b, w))
-            for node, bins in by.items():
-                for b, w in sorted(bins):
-                    prefix[node] = b
-                    if below[node] + w >= want[node] or b == max(x[0] for x in bins):
-                        break
-                    below[node] += w
+            at = F.broadcast(spark.createDataFrame([(k, prefix[k], want[k] - below[k]) for k in prefix], "_n long, _prefix long, _want double"))
+            hist = keyed.join(at, F.col("_node") == F.col("_n")).filter(F.shiftright("_key", shift + BITS) == F.col("_prefix")).groupBy("_node", "_want", F.shiftright("_key", shift).alias("bin")).agg(F.sum(size).alias("w"))
+            upto = hist.withColumn("upto", F.sum("w").over(Window.partitionBy("_node").orderBy("bin")))  # at most 4096 bins a node
+            one = F.struct("bin", (F.col("upto") - F.col("w")).alias("before"), "w")
+            for r in upto.groupBy("_node").agg(F.coalesce(F.min(F.when(F.col("upto") >= F.col("_want"), one)), F.max(one)).alias("s")).collect():  # a row for each node
+                prefix[r["_node"]], at_cut[r["_node"]] = r["s"]["bin"], r["s"]["w"]
+                below[r["_node"]] += r["s"]["before"]
         # a key equal to the cut goes left if that comes nearer to the wanted weight; the bin's weight is the last round's
         cut = {}
         for node in prefix:
-            w = dict(by.get(node, [])).get(prefix[node], 0)
+            w = at_cut.get(node, 0)
             cut[node] = prefix[node] if below[node] + w - want[node] <= want[node] - below[node] else prefix[node] - 1
         ends = F.broadcast(spark.createDataFrame(list(cut.items()), "_n long, _cut long"))
         nxt = keyed.join(ends, F.col("_node") == F.col("_n"), "left").withColumn("_node", F.when(F.col("_cut").isNull(), F.col("_node") * 2).when(F.col("_key") <= F.col("_cut"), F.col("_node") * 2).otherwise(F.col("_node") * 2 + 1))
@@ -94,8 +91,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     name = lambda c: F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary"))
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     size = F.octet_length(raw).cast("long") + 16
-    meta = written(docs.select(id_col, size.alias("size"), F.crc32(raw).alias("text_crc32"), F.log2(size.cast("double")).alias("d_length"), F.coalesce(F.col(id_col).cast("double"), F.lit(0.0)).alias("d_id"), name(source_col).alias("d_source"), name(lang_col).alias("d_lang")), "kd-meta")
-    put = kd_assign(meta, ["d_length", "d_id", "d_source", "d_lang"], "size", F.xxhash64(id_col, "text_crc32"), shards, target_bytes)
+    meta = written(docs.select(id_col, size.alias("size"), F.crc32(raw).alias("text_crc32"), F.log2(size.cast("double")).alias("d_length"), F.coalesce(F.col(id_col).cast("double"), F.lit(0.0)).alias("d_id"), name(source_col).alias("d_source"), name(lang_col).alias("d_lang"), F.monotonically_increasing_id().alias("_copy")), "kd-meta")
+    put = kd_assign(meta, ["d_length", "d_id", "d_source", "d_lang"], "size", F.xxhash64(id_col, "text_crc32", "_copy"), shards, target_bytes)
     one = put.select(id_col, "size", "text_crc32", F.col("shard").cast("int").alias("shard"), F.lit(1).cast("long").alias("_one"))
     slotted = with_running_sum(one, ["shard"], [id_col, "text_crc32"], "_one", "_slot", "kd-slots")
     return slotted.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("_slot") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -20,8 +20,9 @@ pair at the threshold parts on every path of one tree.
 
 Defined cases: null and empty texts (or white space alone) have no shingles and are linked with
 nothing; with fewer than five words the whole sequence is the one shingle; repeated rows are copies,
-also under a repeated id; a null id keeps component null and ``kept`` true; ids of any type that has
-an order will do; other columns are not read.
+also under a repeated id, and different texts may share one; a null id keeps component null and
+``kept`` true; ids of any type that has an order will do; very long texts count whole; an empty
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -114,8 +115,13 @@ def _keys(words: list[bytes]) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+def row_key(text_col: str):
+    """What tells apart the texts that share an id."""
+    return F.xxhash64(F.col(text_col), F.col(text_col).isNull())
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, coordinates: int) -> DataFrame:
-    """(doc, n_shingles, k1, k2, sig) for every row; nulls in the last three where there is no word."""
+    """(doc, key, n_shingles, k1, k2, sig) for every row; nulls in the last three where there is no word."""
 
     def work(batches):
         import pyarrow as pa
@@ -128,10 +134,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, coordinates: i
                 s = shingles(w, n)
                 rows.append((len(s), *_keys(w), signature(s, family).tobytes()) if w else (0, None, None, None))
             c = list(zip(*rows)) if rows else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["doc", "n_shingles", "k1", "k2", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.binary())], ["doc", "key", "n_shingles", "k1", "k2", "sig"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(work, f"doc {kind}, n_shingles long, k1 long, k2 long, sig binary")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), row_key(text_col).alias("key")).mapInArrow(work, f"doc {kind}, key long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def _child(node: np.ndarray, sig: np.ndarray, level: int, branch: int) -> np.ndarray:
@@ -380,8 +386,8 @@ def scattered_links(members: DataFrame, links: DataFrame, percent: int) -> DataF
     return verified_links(wanted.join(sets.select("id", "shingles"), "id"), percent, fresh).filter("a <> b")
 
 
-def confirm(docs: DataFrame, reps: DataFrame, tied: DataFrame, id_col: str, text_col: str, percent: int, n: int) -> DataFrame:
-    """All links needed to connect each cluster's classes, confirmed on full shingle sets."""
+def confirm(docs: DataFrame, reps: DataFrame, tied: DataFrame, id_col: str, text_col: str, percent: int, n: int, repeated: bool) -> DataFrame:
+    """All links needed to connect each cluster's classes, confirmed on full shingle sets; ``repeated``: rows may be equal in id and text."""
 
     def sets_of(batches):
         import pyarrow as pa
@@ -399,8 +405,11 @@ def confirm(docs: DataFrame, reps: DataFrame, tied: DataFrame, id_col: str, text
 
     whole = tied.unionByName(tied.select(F.col("root").alias("id"), "root").distinct()).withColumnRenamed("root", "cluster")
     sizes = written(whole.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")), "cluster-sizes")
-    wanted = with_groups(whole, sizes, ["cluster"], "size").join(reps.select("id", "k2", "least_doc"), "id")
-    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(wanted, F.col("_doc") == F.col("least_doc"))
+    wanted = with_groups(whole, sizes, ["cluster"], "size").join(reps.select("id", "k2", "least"), "id")
+    # each class by one row: ids alone may be those of many texts
+    texts = docs.select(F.col(id_col).alias("_doc"), row_key(text_col).alias("_key"), F.col(text_col).alias("text")).join(wanted, (F.col("_doc") == F.col("least.doc")) & (F.col("_key") == F.col("least.key")))
+    if repeated:
+        texts = texts.dropDuplicates(["id"])
     members = written(texts.select("text", F.col("id").alias("k1"), "k2", "cluster", "size").mapInArrow(sets_of, "id long, cluster long, size long, shingles binary"), "shingles")
     parts = F.ceil(F.col("size") / BLOCK)
     dealt = members.withColumn("part", F.when(F.col("size") > BLOCK, F.pmod(F.xxhash64("id"), parts)).otherwise(F.lit(0)))
@@ -419,36 +428,43 @@ def confirm(docs: DataFrame, reps: DataFrame, tied: DataFrame, id_col: str, text
     return links if more is None else links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept), one row for each document; links need 100 |A and B| >= percent |A or B|."""
+def _classified(docs: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
+    """(doc, key, n_shingles, least), one row for each document: ``least`` is the smallest (doc, key) of its component; and whether rows repeat in (doc, key)."""
     trees = trees_for(RECALL, percent / 100, SEEK)
     coordinates = trees * len(SEEK) * WIDTH
     sk = written(sketches(docs, id_col, text_col, shingle, coordinates), "sketches")
+    repeated = not sk.filter("doc is not null").groupBy("doc", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     linked = F.col("k1").isNotNull() & F.col("doc").isNotNull()
-    classes = sk.filter(linked).groupBy("k1", "k2").agg(F.min("doc").alias("least_doc"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
+    own = F.struct("doc", "key")
+    classes = sk.filter(linked).groupBy("k1", "k2").agg(F.min(own).alias("least"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("n"))
     reps = written(classes.withColumnRenamed("k1", "id"), "classes")
     tied = clusters(reps, least_agreement(coordinates, percent / 100), trees)
-    roots = components(confirm(docs, reps, tied, id_col, text_col, percent, shingle))
-    # a component's name is its smallest document
-    linked_reps = reps.select("id", "least_doc").join(roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()), "id")
-    names = written(linked_reps.groupBy("root").agg(F.min("least_doc").alias("name"), F.count(F.lit(1)).alias("n")), "component-names")
+    roots = components(confirm(docs, reps, tied, id_col, text_col, percent, shingle, repeated))
+    # a component is named by its smallest document
+    linked_reps = reps.select("id", "least").join(roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct()), "id")
+    names = written(linked_reps.groupBy("root").agg(F.min("least").alias("name"), F.count(F.lit(1)).alias("n")), "component-names")
     of = with_groups(linked_reps.select("id", "root"), names, ["root"], "n").select("id", "name")
-    named = written(reps.select("id", "k2", "least_doc", "n").join(of, "id", "left").select(F.col("id").alias("k1"), "k2", "n", F.coalesce("name", "least_doc").alias("_component")), "named-classes")
-    hit = with_groups(sk.filter(linked).select("doc", "n_shingles", "k1", "k2"), named, ["k1", "k2"], "n")
-    alone = sk.filter(~linked).select("doc", "n_shingles", F.col("doc").alias("_component"))
-    out = hit.select("doc", "n_shingles", "_component").unionByName(alone)
-    return out.select(F.col("doc").alias(id_col), "n_shingles", F.col("_component").alias("component_id"), F.coalesce(F.col("doc") == F.col("_component"), F.lit(True)).alias("kept"))
+    named = written(reps.select("id", "k2", "least", "n").join(of, "id", "left").select(F.col("id").alias("k1"), "k2", "n", F.coalesce("name", "least").alias("least")), "named-classes")
+    hit = with_groups(sk.filter(linked).select("doc", "key", "n_shingles", "k1", "k2"), named, ["k1", "k2"], "n")
+    alone = sk.filter(~linked).select("doc", "key", "n_shingles", own.alias("least"))
+    return hit.select("doc", "key", "n_shingles", "least").unionByName(alone), repeated
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept), one row for each document; links need 100 |A and B| >= percent |A or B|."""
+    out, _ = _classified(docs, percent, shingle, id_col, text_col)
+    return out.select(F.col("doc").alias(id_col), "n_shingles", F.col("least.doc").alias("component_id"), F.coalesce(F.col("doc") == F.col("least.doc"), F.lit(True)).alias("kept"))
 
 
-def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents with one of each near-duplicate class: the one with the smallest id; all columns stay.
+def distinct_documents(docs: DataFrame, percent: int = 85, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one of each near-duplicate class: the one with the smallest id, and of texts under that id one; all columns stay.
 
     Documents with a null id stay, and so do those without words; of rows equal in id and text one stays.
     """
-    ids = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter(F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_kept_id")).distinct()
+    rows, repeated = _classified(docs, percent, shingle, id_col, text_col)
+    ids = rows.filter((F.col("doc") == F.col("least.doc")) & (F.col("key") == F.col("least.key"))).select(F.col("doc").alias("_kept_id"), F.col("key").alias("_kept_key"))
     own = docs.filter(F.col(id_col).isNotNull())
-    stay = own.join(ids, own[id_col] == F.col("_kept_id"), "left_semi")
-    repeated = own.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    if not repeated.isEmpty():
+    stay = own.join(ids, (own[id_col] == F.col("_kept_id")) & (row_key(text_col) == F.col("_kept_key")), "left_semi")
+    if repeated:
         stay = stay.dropDuplicates([id_col, text_col])
     return docs.filter(F.col(id_col).isNull()).unionByName(stay)

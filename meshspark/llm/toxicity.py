@@ -89,7 +89,13 @@ def fit(docs: DataFrame, labels: DataFrame, holdout: tuple[int, int] | None = (4
         known = known.filter(crc_remainder(F.col(id_col), holdout[0]) != holdout[1])
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     bounded = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # at most ``sample`` ids
-    texts = written(docs.select(F.col(id_col), F.col(text_col).alias("_text")).join(F.broadcast(bounded), F.col(id_col) == F.col("_id")).select("_y", "_text"), "toxicity-sample")
+    drawn = docs.select(F.col(id_col), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key")).join(F.broadcast(bounded), F.col(id_col) == F.col("_id"))
+    texts = written(drawn.select("_y", "_text", "_id", "_key"), "toxicity-sample")
+    rows, distinct = texts.count(), texts.select("_id", "_key").distinct()
+    if rows > distinct.count() or rows > sample:  # repeated ids: one row for each text, and ``sample`` of these at most
+        least = distinct.orderBy(F.xxhash64("_id", "_key"), "_id", "_key").limit(sample)
+        texts = written(texts.dropDuplicates(["_id", "_key"]).join(F.broadcast(least), ["_id", "_key"]), "toxicity-sample")
+    texts = texts.select("_y", "_text")
 
     def frequencies(batches):
         import pyarrow as pa
