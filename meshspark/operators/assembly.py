@@ -87,3 +87,23 @@ def columns_scaled(operator: DataFrame, scale: DataFrame) -> DataFrame:
 
 def diagonal(operator: DataFrame) -> DataFrame:
     return operator.filter("i = j").select(F.col("i").alias("node_id"), F.col("s").alias("d"))
+
+
+def product(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The sparse product of two operators: a join on the inner index and one aggregation."""
+    right = b.select(F.col("i").alias("_k"), F.col("j").alias("_j"), F.col("s").alias("_s"))
+    return a.join(right, a["j"] == right["_k"]).groupBy("i", F.col("_j").alias("j")).agg(F.sum(F.col("s") * F.col("_s")).alias("s"))
+
+
+def power(operator: DataFrame, n: int) -> DataFrame:
+    """The n-th power as a matrix, by squaring; its ``diagonal`` is that of the filter's operator of order n."""
+    if n < 1:
+        raise ValueError("the power must be at least 1")
+    out, square = None, operator
+    while n:
+        if n & 1:
+            out = square if out is None else product(out, square)
+        n >>= 1
+        if n:
+            square = product(square, square)
+    return out

@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from .geometry import corners
 
 
-def elements_to_nodes(field: DataFrame, geometry: DataFrame, areas: DataFrame, columns: list[str], ocean: DataFrame | None = None) -> DataFrame:
-    """(node_id, columns): area-weighted mean of incident elements; 0 on nodes outside ``ocean`` (node_id)."""
-    inc = corners(geometry, "elem_area").join(field.select("elem_id", *columns), "elem_id")
-    sums = inc.groupBy("node_id").agg(*[F.sum(F.col(c) * F.col("elem_area")).alias(c) for c in columns]).join(areas, "node_id")
-    out = sums.select("node_id", *[(F.col(c) / 3 / F.col("area")).alias(c) for c in columns])
+def elements_to_nodes(field: DataFrame, geometry: DataFrame, areas: DataFrame, columns: list[str], ocean: DataFrame | None = None, keys=()) -> DataFrame:
+    """(keys, node_id, columns): area-weighted mean of incident elements; 0 on nodes outside ``ocean`` (node_id)."""
+    inc = corners(geometry, "elem_area").join(field.select(*keys, "elem_id", *columns), "elem_id")
+    sums = inc.groupBy(*keys, "node_id").agg(*[F.sum(F.col(c) * F.col("elem_area")).alias(c) for c in columns]).join(areas, "node_id")
+    out = sums.select(*keys, "node_id", *[(F.col(c) / 3 / F.col("area")).alias(c) for c in columns])
     if ocean is None:
         return out
     flagged = out.join(ocean.select("node_id", F.lit(True).alias("_ocean")), "node_id", "left")
-    return flagged.select("node_id", *[F.when(F.col("_ocean"), F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in columns])
+    return flagged.select(*keys, "node_id", *[F.when(F.col("_ocean"), F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in columns])
 
 
 def nodes_to_elements(field: DataFrame, geometry: DataFrame, columns: list[str]) -> DataFrame:

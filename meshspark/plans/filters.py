@@ -50,18 +50,25 @@ def filter_with_fill(mesh: PreparedMesh, fields: DataFrame, k, neutral: float =
     return done.join(fields.select(*keys, "node_id", "ocean"), [*keys, "node_id"]).withColumn("filtered", F.when(F.col("ocean"), F.col("filtered")))
 
 
-def spectra(mesh: PreparedMesh, fields: DataFrame, scales: DataFrame, order: int = 1, columns=("value",), excluded: DataFrame | None = None, solver: str = "auto") -> DataFrame:
+def spectra(mesh: PreparedMesh, fields: DataFrame, scales: DataFrame, order: int = 1, columns=("value",), excluded: DataFrame | None = None, solver: str = "auto", shift: int | None = None) -> DataFrame:
     """(snapshot_id, scale_idx, k, energy): row 0 is the whole field's, then what each scale's high-pass holds.
 
     ``scales`` is (scale_idx, k) or (scale_idx, node_id, k).  Fields, components and scales are one
     batch of right-hand sides and one aggregation.  ``excluded`` (node_id) leaves nodes out of the sums.
+    With ``shift`` two columns are the components of one coupled system, whose second component has the
+    number added to its node ids, as in ``filter_velocity``; each scale of a snapshot is then one right-hand side.
     """
     parts = F.array(*[F.struct(F.lit(i).alias("comp"), F.col(c).alias("value")) for i, c in enumerate(columns)])
     long = fields.select("snapshot_id", "node_id", F.explode(parts).alias("p")).select("snapshot_id", "node_id", "p.comp", "p.value")
     # a handful of scales; each right-hand side is one row set of the batch
     batch = long.join(scales, "node_id") if "node_id" in scales.columns else long.join(F.broadcast(scales.withColumn("_j", F.lit(1))), F.lit(1) == F.col("_j")).drop("_j")
-    keys = ["snapshot_id", "scale_idx", "comp"]
-    done = solve(mesh, batch.select(*keys, "node_id", "value", "k"), keys, order, solver)
+    if shift is None:
+        keys = ["snapshot_id", "scale_idx", "comp"]
+        done = solve(mesh, batch.select(*keys, "node_id", "value", "k"), keys, order, solver)
+    else:
+        keys = ["snapshot_id", "scale_idx"]
+        both = batch.withColumn("node_id", F.col("node_id") + F.col("comp") * shift)
+        done = solve(mesh, both.select(*keys, "node_id", "value", "k"), keys, order, solver).withColumn("node_id", F.col("node_id") % shift)
     whole = long.select("snapshot_id", F.lit(0).alias("scale_idx"), "node_id", F.col("value").alias("e"), F.lit(None).cast("double").alias("k"))
     parts_ = done.select("snapshot_id", "scale_idx", "node_id", (F.col("filtered") - F.col("value")).alias("e"), "k")
     rows = whole.unionByName(parts_).join(mesh.node.select("node_id", "area"), "node_id")

@@ -4,14 +4,12 @@
 task that holds it, so work scales with the number of fields.  ``distributed``: conjugate gradients
 as DataFrame steps for operators beyond that size, all right-hand sides advancing together.
 ``blocks``: stabilised biconjugate gradients over blocks of nodes, for operators of any size, symmetric or not.
-``spectral``: two matrix products on a closed uniform grid.  ``auto`` takes ``local`` up to LOCAL_ENTRIES
+``spectral``: fast cosine transforms of lines on a closed uniform grid.  ``auto`` takes ``local`` up to LOCAL_ENTRIES
 entries, then ``spectral`` where the mesh is such a grid and each field has one scale, else ``blocks``.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +20,6 @@ from .blocks import blocked_solve
 
 #: Entries of an operator that may be broadcast (about 24 bytes each).
 LOCAL_ENTRIES = 4_000_000
-#: Rows of a basis table that may be broadcast (16 bytes each).
-BASIS_ROWS = 1_000_000
 TOLERANCE, MAX_ITERATIONS = 1e-11, 150_000
 
 
@@ -97,14 +93,23 @@ def solve_one(m: Csr, area, d, phi, order: int, symmetric: bool, tol: float = TO
     raise SolverNotConvergedError(f"no convergence in {most} iterations")
 
 
+def broadcast_csr(mesh: PreparedMesh):
+    """(the operator as broadcast CSR with areas, or None beyond LOCAL_ENTRIES; its entries), made once for a mesh."""
+    made = mesh.cache.get("csr")
+    if made is None or (made[0] is None) != (made[1] > LOCAL_ENTRIES):
+        op = mesh.operator.select("i", "j", "s").limit(LOCAL_ENTRIES + 1).toArrow()
+        node = mesh.node.select("node_id", "area").limit(LOCAL_ENTRIES + 1).toArrow().sort_by("node_id")
+        n, shared = max(op.num_rows, node.num_rows), None
+        if n <= LOCAL_ENTRIES:
+            csr = Csr(node.column("node_id").to_numpy(), *[op.column(c).to_numpy() for c in "ijs"])
+            shared = mesh.node.sparkSession.sparkContext.broadcast((csr, node.column("area").to_numpy(), mesh.symmetric))
+        made = mesh.cache["csr"] = (shared, n)
+    return made
+
+
 def local_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, scale: DataFrame | None = None, tol: float = TOLERANCE, most: int = MAX_ITERATIONS) -> DataFrame:
     """``fields`` is (keys, node_id, value, k); one task solves one right-hand side."""
-    spark = fields.sparkSession
-    node = mesh.node.select("node_id", "area").orderBy("node_id").toArrow()  # bounded: see ``solve``
-    op = mesh.operator.select("i", "j", "s").toArrow()
-    ids = node.column("node_id").to_numpy()
-    csr = Csr(ids, *[op.column(c).to_numpy() for c in "ijs"])
-    shared = spark.sparkContext.broadcast((csr, node.column("area").to_numpy(), mesh.symmetric))
+    shared = broadcast_csr(mesh)[0]
 
     def work(pdf):
         m, area, symmetric = shared.value
@@ -187,26 +192,50 @@ def distributed_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], or
     raise SolverNotConvergedError(f"no convergence in {most} iterations: {open_[:3]}")
 
 
+def cosines(v: np.ndarray) -> np.ndarray:
+    """Orthonormal cosine transform of each row, by a fast Fourier transform of its even continuation."""
+    n = v.shape[1]
+    p = np.arange(n)
+    c = (np.fft.rfft(np.concatenate([v, v[:, ::-1]], 1))[:, :n] * np.exp(-1j * np.pi * p / (2 * n))).real / 2
+    return c * np.sqrt(np.where(p == 0, 1.0, 2.0) / n)
+
+
+def from_cosines(c: np.ndarray) -> np.ndarray:
+    n = c.shape[1]
+    p = np.arange(n)
+    a = c * np.sqrt(np.where(p == 0, 1.0, 2.0) / n) * np.exp(1j * np.pi * p / (2 * n))
+    return np.fft.ifft(a, 2 * n)[:, :n].real * 2 * n
+
+
 def spectral_solve(cells: DataFrame, fields: DataFrame, keys: list[str], nx: int, ny: int, k, order: int, area: float = 1.0) -> DataFrame:
-    """Closed uniform grid: cosine transforms along x and y as joins with basis tables; ``fields`` is (keys, ix, iy, value).
+    """Closed uniform grid: fast cosine transforms of its lines; ``fields`` is (keys, ix, iy, value), ``k`` a number or a column of the keys.
 
-    ``k`` is a number, or a column of the keys.  A basis is broadcast up to BASIS_ROWS rows and shuffled beyond.
+    A line of cells is a row, transformed in its task; each cell moves three times, to its column, to its row of modes and back.
     """
-    import math
 
-    def basis(n, at, mode):
-        i, p = F.floor(F.col("id") / n), F.col("id") % n
-        b = F.cos(math.pi * p * (i + 0.5) / n) * F.sqrt(F.when(p == 0, 1.0).otherwise(2.0) / n)
-        table = fields.sparkSession.range(n * n).select(i.cast("int").alias(at), p.cast("int").alias(mode), b.alias("b"))
-        return F.broadcast(table) if n * n <= BASIS_ROWS else table
+    def lines(df, by, along):
+        each = F.array_sort(F.collect_list(F.struct(F.col(along).alias("a"), F.col("value").alias("v"))))
+        return df.groupBy(*keys, by).agg(each.alias("l")).select(*keys, by, F.col("l.v").alias("line"))
+
+    def mapped(df, by, work):
+        def run(frames):
+            for pdf in frames:
+                if len(pdf):
+                    pdf["line"] = list(work(np.stack([np.asarray(v) for v in pdf["line"]]), pdf))
+                yield pdf
+
+        return df.mapInPandas(run, df.schema)
+
+    def respond(v, pdf):
+        e = 4 * np.sin(np.pi * np.arange(nx) / (2 * nx)) ** 2 + 4 * np.sin(np.pi * pdf["r"].to_numpy()[:, None] / (2 * ny)) ** 2
+        return from_cosines(cosines(v) / (1 + 2 * (e / area / pdf["_k"].to_numpy()[:, None] ** 2) ** order))
 
-    bx, by = basis(nx, "ix", "p"), basis(ny, "iy", "r")
-    go = lambda d, b, keep, to, c: d.join(b, keep).groupBy(*keys, *to).agg(F.sum(F.col(c) * F.col("b")).alias(c))
-    c = go(go(fields.select(*keys, "ix", "iy", "value"), bx, "ix", ["p", "iy"], "value"), by, "iy", ["p", "r"], "value")
-    eig = (4 * F.sin(math.pi * F.col("p") / (2 * nx)) ** 2 + 4 * F.sin(math.pi * F.col("r") / (2 * ny)) ** 2) / area
-    c = c.withColumn("value", F.col("value") / (1 + 2 * F.pow(eig / (k * k), F.lit(order))))
-    out = go(go(c, bx, "p", ["ix", "r"], "value"), by, "r", ["ix", "iy"], "value")
-    return out.withColumnRenamed("value", "filtered")
+    spread = lambda df, keep, to: df.select(*keys, keep, F.posexplode("line").alias(to, "value"))
+    columns = mapped(lines(fields.select(*keys, "ix", "iy", "value"), "ix", "iy"), "ix", lambda v, _: cosines(v))
+    modes = lines(spread(columns, "ix", "r"), "r", "ix").withColumn("_k", k if not isinstance(k, (int, float)) else F.lit(float(k)))
+    low = mapped(modes, "r", respond).drop("_k")
+    back = mapped(lines(spread(low, "r", "ix"), "ix", "r"), "ix", lambda v, _: from_cosines(v))
+    return spread(back, "ix", "iy").withColumnRenamed("value", "filtered")
 
 
 def _spectral(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int) -> DataFrame:
@@ -232,14 +261,8 @@ def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, so
     if solver == "spectral" and not (mesh.grid and _one_scale(fields, keys)):
         raise ValueError("cosine transforms need a closed uniform grid and one scale for each field")
     if solver in ("auto", "local"):
-        # written once: counting and collecting would each run the assembly's joins again
-        op = cut(mesh.operator.select("i", "j", "s"), "operator")
-        mesh = replace(mesh, operator=op)
-        fits = op.count() <= LOCAL_ENTRIES
-        if fits:
-            out = local_solve(mesh, fields, keys, order, tol=tol, most=most)
-            removed(op)
-            return out
+        if broadcast_csr(mesh)[0] is not None:
+            return local_solve(mesh, fields, keys, order, tol=tol, most=most)
         if solver == "local":
             raise ValueError(f"the operator has more than {LOCAL_ENTRIES} entries")
         solver = "spectral" if mesh.grid and _one_scale(fields, keys) else "blocks"

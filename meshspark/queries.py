@@ -94,6 +94,15 @@ it AS (SELECT 0 AS t, ph AS x FROM c UNION ALL SELECT t + 1, list_transform(rang
 sol AS (SELECT unnest(range(len(x))) AS i, unnest(x) AS z FROM it WHERE t = {sweeps})"""
 
 
+def jacobi_by(sweeps: int, damp: float = 1.0) -> str:
+    """The same for many systems; phi(b, i, v) and dk(b, i, d) have a number b for each."""
+    return f"""m AS (SELECT a.b, a.i, c.i AS j, (CASE WHEN a.i = c.i THEN 1.0 ELSE 0.0 END) + 2 * coalesce(o.s, 0) * c.d AS v FROM phi a JOIN dk c ON c.b = a.b LEFT JOIN op o ON o.i = a.i AND o.j = c.i),
+mr AS (SELECT b, i, list(v ORDER BY j) AS r, max(CASE WHEN i = j THEN v END) AS dg FROM m GROUP BY b, i),
+c AS (SELECT * FROM (SELECT b, list(r ORDER BY i) AS mm, list(dg ORDER BY i) AS dd FROM mr GROUP BY b) x JOIN (SELECT b, list(v::DOUBLE ORDER BY i) AS ph FROM phi GROUP BY b) y USING (b)),
+it AS (SELECT b, 0 AS t, ph AS x FROM c UNION ALL SELECT it.b, t + 1, list_transform(range(1, len(ph) + 1), lambda i: x[i] + {damp} * (ph[i] - list_dot_product(mm[i], x)) / dd[i]) FROM it JOIN c ON c.b = it.b WHERE t < {sweeps}),
+sol AS (SELECT b, unnest(range(len(x))) AS i, unnest(x) AS z FROM it WHERE t = {sweeps})"""
+
+
 # topology
 
 
@@ -309,6 +318,19 @@ def operator_columns_scaled(spark, sf_dir):
     return assembly.columns_scaled(assembly.stiffness(ge, ar), k).select("i", "j", r6(F.col("s"), "s"))
 
 
+@query(f"WITH {TRI}, {ST} SELECT a.i, b.j, {s6('sum(a.s * b.s)', 's', 4)} FROM st a JOIN st b ON b.i = a.j GROUP BY 1, 2")
+def operator_power(spark, sf_dir):
+    _, ge, ar = tri(spark, sf_dir)
+    return assembly.power(cut(assembly.stiffness(ge, ar), "operator"), 2).select("i", "j", r6(F.col("s"), "s", 4))
+
+
+@query(f"WITH {TRI}, {ST}, sq AS (SELECT a.i, b.j, sum(a.s * b.s) AS s FROM st a JOIN st b ON b.i = a.j GROUP BY 1, 2) SELECT a.i AS node_id, {s6('sum(a.s * b.s)', 'd', 3)} FROM sq a JOIN st b ON b.i = a.j AND b.j = a.i GROUP BY 1")
+def operator_power_diag(spark, sf_dir):
+    """The exact diagonal of the third power."""
+    _, ge, ar = tri(spark, sf_dir)
+    return assembly.diagonal(assembly.power(cut(assembly.stiffness(ge, ar), "operator"), 3)).select("node_id", r6(F.col("d"), "d", 3))
+
+
 # remaps
 
 _EF = "ef AS (SELECT elem_id, bal / 1000 + elem_id % 2 AS value, bal / 2000 + nat AS other FROM el JOIN cn ON id = n0)"
@@ -357,6 +379,11 @@ def tcells(spark, sf_dir):
     return remap.faces_to_cells(v, grid(spark, 12, 10, "periodic")).select("cell_id", r6(F.col("ux"), "ux"), r6(F.col("vy"), "vy"))
 
 
+@query(f"WITH {LI} SELECT ix * 10 + iy AS node_id, {s6('sqrt(ux * ux + vy * vy)', 'speed')} FROM li")
+def speed(spark, sf_dir):
+    return fixtures.li_grid(spark, sf_dir).select("node_id", r6(scales.speed(F.col("ux"), F.col("vy")), "speed"))
+
+
 # scales
 
 
@@ -574,6 +601,65 @@ def filter_metric_velocity(spark, sf_dir):
     return filters.filter_velocity(nation_block_mesh(n), nation_velocity(n), _KS, shift=n.n).select("node_id", r6(F.col("ux"), "ux"), r6(F.col("vy"), "vy"))
 
 
+_TWO = [_KS, _KS / 2]
+
+
+@query(
+    f"WITH RECURSIVE {_NSPH}, {BLOCK}, {_UV.replace('phi AS', 'phi0 AS')}, phi AS (SELECT b, i, v FROM phi0, range(1, 3) t(b)), dk AS (SELECT b, i, CASE WHEN b = 1 THEN {1 / _TWO[0] ** 2} ELSE {1 / _TWO[1] ** 2} END AS d FROM phi), {jacobi_by(2500, 0.6)}, "
+    f"en AS (SELECT 0 AS scale_idx, NULL::DOUBLE AS k, sum(area * v * v) / sum(area) * 2 AS energy FROM phi0 JOIN ar ON node_id = i % 25 UNION ALL SELECT b, CASE WHEN b = 1 THEN {_TWO[0]} ELSE {_TWO[1]} END, sum(area * (z - v) * (z - v)) / sum(area) * 2 FROM sol JOIN phi USING (b, i) JOIN ar ON node_id = i % 25 GROUP BY b) "
+    f"SELECT scale_idx::BIGINT AS scale_idx, {s6('k', 'k')}, {s6('energy', 'energy')} FROM en"
+)
+def spectra_velocity_coupled(spark, sf_dir):
+    """Velocity spectra through the coupled system of the metric terms."""
+    n = fixtures.nation_lattice(spark, sf_dir)
+    scales_ = spark.createDataFrame(list(enumerate(_TWO, 1)), "scale_idx int, k double")
+    return _sp(filters.spectra(nation_block_mesh(n), nation_velocity(n), scales_, columns=("ux", "vy"), shift=n.n))
+
+
+_KB = [K4, PI2 / 8]
+_MONTHS = "lf AS (SELECT month(l_shipdate) AS t, l_orderkey % 32 AS elem_id, avg(l_quantity) / 10 AS ux, avg(l_discount) * 100 AS vy FROM lineitem GROUP BY 1, 2)"
+
+
+@query(
+    f"WITH RECURSIVE {NA}, {EL_}, {ND}, {GE}, {CO}, {AR}, {ST}, op AS (SELECT * FROM st), {_MONTHS}, "
+    "nf AS (SELECT t, node_id, sum(ux * elem_area) / 3 / any_value(area) AS ux, sum(vy * elem_area) / 3 / any_value(area) AS vy FROM co JOIN lf USING (elem_id) JOIN ar USING (node_id) GROUP BY 1, 2), "
+    "phi AS (SELECT 100 * t + 10 * s + c AS b, node_id AS i, CASE WHEN c = 0 THEN ux ELSE vy END AS v FROM nf, range(1, 3) x(s), range(2) y(c)), "
+    f"dk AS (SELECT b, i, CASE WHEN b // 10 % 10 = 1 THEN {1 / _KB[0] ** 2} ELSE {1 / _KB[1] ** 2} END AS d FROM phi), {jacobi_by(600, 0.7)} "
+    f"SELECT t::BIGINT AS snapshot_id, 0::BIGINT AS scale_idx, {s6('sum(area * (ux * ux + vy * vy)) / sum(area)', 'energy')} FROM nf JOIN ar USING (node_id) GROUP BY 1 "
+    f"UNION ALL SELECT b // 100, b // 10 % 10, {s6('sum(area * (z - v) * (z - v)) / sum(area) * 2', 'energy')} FROM sol JOIN phi USING (b, i) JOIN ar ON node_id = i GROUP BY 1, 2"
+)
+def batch_spectra(spark, sf_dir):
+    """A batch over the months of ``lineitem`` that stops half way and is resumed."""
+    import uuid
+
+    from .plans.batch import batch_spectra as run
+
+    n = fixtures.nation_lattice(spark, sf_dir)
+    t = load_table(spark, sf_dir, "lineitem").groupBy(F.month("l_shipdate").cast("long").alias("snapshot_id"), (F.col("l_orderkey") % 32).alias("elem_id")).agg((F.avg("l_quantity") / 10).alias("ux"), (F.avg("l_discount") * 100).alias("vy"))
+    mesh = customer_mesh(n)
+    scales_ = spark.createDataFrame(list(enumerate(_KB, 1)), "scale_idx int, k double")
+    path = f"{shared_folder(spark)}/batch-{uuid.uuid4().hex}"
+    run(mesh, mesh.more["geometry"], t.filter("snapshot_id <= 6"), scales_, path)
+    run(mesh, mesh.more["geometry"], t, scales_, path, waves=3)
+    return spark.read.parquet(path).select(F.col("snapshot_id").cast("long").alias("snapshot_id"), F.col("scale_idx").cast("long").alias("scale_idx"), r6(F.col("energy"), "energy"))
+
+
+_KL = PI2 / 1500
+
+
+@query(
+    f"WITH RECURSIVE {_LLM}, off AS (SELECT cell_id AS i, nbr_id AS j, CASE dir WHEN 0 THEN hc0 / we WHEN 1 THEN hc1 / ns WHEN 2 THEN hc2 / we ELSE hc3 / ns END / (ns * we) AS s FROM nb JOIN lm USING (cell_id)), op AS (SELECT i, j, sum(s) AS s FROM ({_CLOSE}) GROUP BY 1, 2), "
+    f"phi AS (SELECT (l_quantity::BIGINT - 1) * 25 + n_nationkey AS i, p + n_nationkey / 10.0 AS v FROM (SELECT l_quantity, avg(l_extendedprice) / 1000 AS p FROM lineitem GROUP BY 1), nation), dk AS (SELECT i, {1 / _KL**2} AS d FROM phi), {jacobi(200, 0.8)} {_SOL}"
+)
+def filter_latlon_blocks(spark, sf_dir):
+    """A longitude-latitude grid by the tier for operators of any size."""
+    mesh = prepare.prepare_latlon(_latlon_cells(spark, sf_dir))
+    price = load_table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg((F.avg("l_extendedprice") / 1000).alias("p"))
+    nations = F.broadcast(load_table(spark, sf_dir, "nation").select("n_nationkey"))  # 25 rows
+    f = price.crossJoin(nations).select(F.lit(0).cast("long").alias("snapshot_id"), ((F.col("l_quantity") - 1) * 25 + F.col("n_nationkey")).cast("long").alias("node_id"), (F.col("p") + F.col("n_nationkey") / 10.0).alias("value"))
+    return filters.filter_field(mesh, f, _KL, solver="blocks").select("node_id", r6(F.col("filtered"), "filtered", 4))
+
+
 _KN = PI2 / 40
 
 

@@ -1,7 +1,7 @@
 """Model meshes as DataFrames: unstructured triangles, regular grids and curvilinear ocean grids.
 
 Canonical tables: nodes (node_id, x, y), elements (elem_id, nodes), grid cells (cell_id, ix, iy, ...).
-NetCDF files go through ``netcdf_variables`` where a NetCDF library is installed; Parquet needs nothing.
+Files of the classic NetCDF format are read by ``netcdf``.
 """
 
 from __future__ import annotations
@@ -63,18 +63,3 @@ def wrap_region(field: DataFrame, west: float, east: float) -> DataFrame:
     """A longitude window that may cross the date line: eastern longitudes come first, shifted by -360."""
     shifted = field.filter(F.col("lon") >= west + 360).withColumn("lon", F.col("lon") - 360)
     return shifted.unionByName(field.filter((F.col("lon") >= west) & (F.col("lon") <= east)))
-
-
-def netcdf_variables(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """One row for each cell of equally shaped variables, with its dimensions as columns; needs a NetCDF library."""
-    try:
-        import netCDF4
-    except ImportError as e:
-        raise ImportError("reading NetCDF needs the netCDF4 library; Parquet tables need nothing") from e
-    import numpy as np
-    import pandas as pd
-
-    with netCDF4.Dataset(path) as ds:
-        dims = ds[names[0]].dimensions
-        at = np.indices(ds[names[0]].shape).reshape(len(dims), -1)
-        return spark.createDataFrame(pd.DataFrame({d: a for d, a in zip(dims, at)} | {n: np.asarray(ds[n][:]).ravel() for n in names}))

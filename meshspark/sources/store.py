@@ -33,6 +33,14 @@ def checked(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+def coerced(df: DataFrame, name: str) -> DataFrame:
+    """Columns of other numeric types, as older files may hold, as the types needed; a column that is missing raises."""
+    for c, kind in NEEDED.get(name, {}).items():
+        if c in df.columns:
+            df = df.withColumn(c, df[c].cast(kind))
+    return checked(df, name)
+
+
 def save(mesh: PreparedMesh, path: str) -> None:
     spark = mesh.node.sparkSession
     for name, df in {"node": mesh.node, "operator": mesh.operator, **mesh.more}.items():
@@ -41,11 +49,13 @@ def save(mesh: PreparedMesh, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> PreparedMesh:
-    meta = spark.read.parquet(f"{path}/meta").first()
-    read = lambda n: checked(spark.read.parquet(f"{path}/{n}"), n)
-    return PreparedMesh(read("node"), read("operator"), meta["symmetric"], {n: read(n) for n in meta["more"]}, (meta["nx"], meta["ny"], meta["cell_area"]) if meta["nx"] else None)
+    """A saved mesh; what an older file lacks is filled: no further tables, no grid, and no symmetry taken for granted."""
+    meta = {"symmetric": False, "more": [], "nx": None} | spark.read.parquet(f"{path}/meta").first().asDict()
+    read = lambda n: coerced(spark.read.parquet(f"{path}/{n}"), n)
+    grid = (meta["nx"], meta["ny"], meta["cell_area"]) if meta["nx"] else None
+    return PreparedMesh(read("node"), read("operator"), bool(meta["symmetric"]), {n: read(n) for n in meta["more"] or []}, grid)
 
 
 def save_spectra(spectra: DataFrame, path: str) -> None:
-    """One folder for each snapshot."""
-    spectra.write.mode("overwrite").partitionBy("snapshot_id").parquet(path)
+    """One folder for each snapshot; those of other snapshots stay."""
+    spectra.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(path)
