@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def contracted(edges: DataFrame, most: int = 200_000) -> DataFrame:
+#: Edges that one task contracts.
+STRETCH = 200_000
+
+
+def contracted(edges: DataFrame, most: int = STRETCH) -> DataFrame:
     """(u, v), u > v: the same components with fewer edges, from union-find over stretches of at most ``most`` edges of a partition."""
 
     def work(batches):
@@ -39,8 +43,7 @@ def contracted(edges: DataFrame, most: int = 200_000) -> DataFrame:
                 n = 0
         yield stars()
 
-    # written first: Python on top of Python in one stage would hold two workers a task
-    return written(edges.select("a", "b").filter("a <> b"), "edges").mapInArrow(work, "u long, v long")
+    return edges.select("a", "b").filter("a <> b").mapInArrow(work, "u long, v long")
 
 
 def _least(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
@@ -53,12 +56,17 @@ def _least(rows: DataFrame, hot: DataFrame | None = None) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for every id with an edge other than the root itself; ``edges`` has long columns a and b.
 
+    Stretches of edges are contracted in their tasks first, twice: as they come, and what that leaves.
     Every round moves neighbours to the smallest id seen; edges stay a table of the shared folder and
     are never collected.  Nodes with over a 2000th of all edge ends (so at most 2000) are treated
     apart: their minima are pre-aggregated and broadcast.
     """
     spark = edges.sparkSession
-    e = written(contracted(edges), "edges")
+    # written first: Python on top of Python in one stage would hold two workers a task
+    e = written(contracted(written(edges.select("a", "b"), "edges")), "edges")
+    # what is left meets in as many tasks as it fills, so that few edges need few rounds
+    tasks = max(1, -(-e.count() // STRETCH))
+    e = written(contracted(e.toDF("a", "b").coalesce(tasks)), "edges")
     for _ in range(rounds):
         ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("up")), F.struct(F.col("v").alias("x"), F.lit(None).cast("long").alias("up")))).alias("s"))
         nodes = ends.groupBy("s.x").agg(F.count(F.lit(1)).alias("n"), F.count("s.up").alias("ups"), F.min("s.up").alias("lo"), F.max("s.up").alias("hi"))
