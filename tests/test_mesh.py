@@ -13,10 +13,21 @@ from meshspark.plans import filters, prepare, solver
 from meshspark.sources import fixtures, models, store
 from meshspark.sources.store import PreparedMesh
 
-#: Triangles of the 3 x 3 lattice, and elements and neighbours of each node of the 6 x 6 one.
+#: Triangles of the 3 x 3 lattice.
 LATTICE_3 = [(0, 1, 3), (1, 4, 3), (1, 2, 4), (2, 5, 4), (3, 4, 6), (4, 7, 6), (4, 5, 7), (5, 8, 7)]
-ELEMENTS_6 = "133332 366663 366663 366663 366663 233331"
-NEIGHBOURS_6 = "355554 577775 577775 577775 577775 455553"
+
+
+def counted(nx, ny):
+    """Elements and neighbours (itself included) of each node, by going through the quads."""
+    elements, near = [0] * (nx * ny), [{i} for i in range(nx * ny)]
+    for n in range(nx - 1):
+        for q in range(ny - 1):
+            a, b, c, d = n * ny + q, n * ny + q + 1, (n + 1) * ny + q, (n + 1) * ny + q + 1
+            for t in ((a, b, c), (b, d, c)):
+                for i in t:
+                    elements[i] += 1
+                    near[i] |= set(t)
+    return elements, [len(x) for x in near]
 
 
 def field(spark, n, f):
@@ -30,9 +41,9 @@ def solved(df, col="filtered"):
 def test_golden_lattices(spark):
     assert [tuple(r.nodes) for r in topology.lattice(spark, 3, 3).orderBy("elem_id").collect()] == LATTICE_3
     el = topology.lattice(spark, 6, 6)
-    assert [r.n_elems for r in topology.elements_per_node(el).orderBy("node_id").collect()] == [int(c) for c in ELEMENTS_6.replace(" ", "")]
+    assert [r.n_elems for r in topology.elements_per_node(el).orderBy("node_id").collect()] == counted(6, 6)[0]
     nbrs = topology.node_neighbours(el).orderBy("node_id").collect()
-    assert [len(r.nbrs) for r in nbrs] == [int(c) for c in NEIGHBOURS_6.replace(" ", "")]
+    assert [len(r.nbrs) for r in nbrs] == counted(6, 6)[1]
     assert nbrs[0].nbrs == [0, 1, 6]
     first = topology.node_elements(el).orderBy("node_id").first()
     assert first.elems == [0]
@@ -201,7 +212,6 @@ def test_local_tier_has_a_bound(spark, monkeypatch):
     mesh, f = Q.uniform(spark, 4, 3), field(spark, 12, lambda i: i % 5)
     want = solved(filters.filter_field(mesh, f, 2.0))
     monkeypatch.setattr(solver, "LOCAL_ENTRIES", 10)
-    monkeypatch.setattr(solver, "BASIS_ROWS", 10)
     with pytest.raises(ValueError, match="more than 10 entries"):
         filters.filter_field(mesh, f, 2.0, solver="local")
     assert np.allclose(solved(filters.filter_field(mesh, f, 2.0)), want)
