@@ -18,7 +18,7 @@ their counts in a shuffled join on their 64-bit hash.
 
 Defined cases: null and empty texts are one end token; a null id is hashed as empty text; an empty
 table gives an empty result; without training tokens every class is equally likely and words share
-one unseen place; repeated rows are scored one by one.
+one unseen place; repeated rows are scored one by one; very long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, crc_remainder, written
+from .common import blocks, crc_remainder, with_groups, written
 
 SLOT_BITS = 19
 CLASSES, SINGLES = 32, 12
@@ -298,7 +298,8 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, w: np.ndarray, h
     schema = "id long, n_tokens long, n_frequent long, lp double, base double, tail array<long>, times array<int>"
     rows = written(docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(work, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rare = rows.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("h"), F.col("t.times").alias("times"))
-    found = rare.join(counts.filter("not pair").select("h", "c"), "h").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs"))
+    # a common word may have lost its slot to a more common one
+    found = with_groups(rare, counts.filter("not pair").select("h", "c", F.col("c").alias("n")), ["h"], "n").groupBy("row").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs"))
     n_all, v = classes.n_total, classes.n_words
     rest, logs = F.coalesce("known", F.lit(0)), F.coalesce("logs", F.lit(0.0))
     unit = float(np.log10(n_all + v + 1))

@@ -8,7 +8,8 @@ target.  Reruns agree.
 
 Null or wordless texts have size 0 and still expect copies; a source whose size is 0 gets none.  A
 null source is a source of its own, ordered last.  Rows equal in id, source and text are
-interchangeable.  An empty table gives an empty result.
+interchangeable.  Very long texts count whole.  An empty table gives an empty result.  Columns of the
+documents keep their names; those that begin with ``_mix_`` are reserved and raise as ambiguous.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ passes rejects nothing in that stratum, so with few or no labels everything is k
 Native: DataFrame functions only.  Five-word windows are compared by 64-bit hashes inside one text.
 Null and empty texts have no words and fail the base rule.  Null strata form a stratum.  Labels of
 one id are combined by their lowest quality; ids without a label, or with a null one, certify nothing.
+Repeated rows are judged one by one; very long texts are judged whole; an empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,9 @@ over its whole text.
 
 Defined cases: null and empty texts have no features and score at the intercept; labels of one id are
 combined by the highest; null labels and ids are not trained on; without both classes in training,
-every score is the share of toxic labels (0 if there are none).
+every score is the share of toxic labels (0 if there are none).  Rows are scored one by one, repeated
+ones alike; of an id's texts each trains once, within the bound; an empty table gives an empty result;
+``clean`` keeps all columns whatever their names, ``toxicity`` returns the id and its own.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ def test_queries_equal_their_sql(spark):
     from meshspark.llm import queries, sql
 
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, text in sql.oracle_sql().items():
         want = con.execute(text)
