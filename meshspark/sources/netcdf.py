@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .tables import cut
+
 #: Fixed values of the format: type codes and what they stand for, big-endian.
 TYPES = {1: ">i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: ">u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
 SLAB_BYTES = 64 << 20
@@ -220,4 +222,5 @@ def mesh_mask_file(spark: SparkSession, path: str, slab_bytes: int = SLAB_BYTES)
             if d not in ("x", "y", "z"):
                 t = t.filter(F.col(d) == 0).drop(d)
         out = t if out is None else out.join(t, [d for d in ("z", "y", "x") if d in dims])
-    return out.withColumns({d: F.col(d).cast("int") for d in ("x", "y", "z") if d in out.columns})
+    # written once: what prepares a mesh goes through the table several times
+    return cut(out.withColumns({d: F.col(d).cast("int") for d in ("x", "y", "z") if d in out.columns}), "mesh-mask")

@@ -43,10 +43,10 @@ def write(path, dims, variables, version=1):
     of_record = [v for v in arrays if record[v]]
     for v in of_record:
         begins[v] = start
-        start += arrays[v][1][0].nbytes if len(of_record) == 1 else len(pad(arrays[v][1][0].tobytes()))
+        start += arrays[v][1][0].nbytes if len(of_record) == 1 else len(pad(arrays[v][1][:1].tobytes()))
     for i in range(n_records):
         for v in of_record:
-            raw = arrays[v][1][i].tobytes()
+            raw = arrays[v][1][i : i + 1].tobytes()
             body += raw if len(of_record) == 1 else pad(raw)
     path.write_bytes(header(begins) + body)
 
