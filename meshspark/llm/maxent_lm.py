@@ -1,17 +1,22 @@
 """Language-model scoring: a hashed maximum-entropy model with a class-factored softmax.
 
-log P(word | history) = log P(class | history) + log P(word | class).  The class is predicted by a
-softmax over hashed features of the history: the previous word, the previous two words, a skip
-feature (the word before the previous one) and the pair of their classes.  Inside a class a word's
-probability is its share of the class's training count, which is the maximum-entropy solution for
-word features alone.  Frequent words are classes of their own, other frequent words share classes by
-their ending, and the last class holds every other word and one place for unseen words, so the
-model sums to one over the vocabulary plus unseen.
-
-Training.  Word counts come from all training tokens.  The softmax is trained in ``ROUNDS`` rounds of
+log P(word | history) = log P(class | history) + log P(leaf | class, history) + log P(word | leaf).
+The class is predicted by a softmax over hashed features of the history: the previous word, the
+previous two words, a skip feature (the word before the previous one) and the pair of their classes.
+Inside a class a second softmax predicts the leaf: its hashed features join the class with the
+previous word, the skip word and the pair of classes, on top of the leaf's training share.  A class's
+most frequent words are leaves of their own, its other words share leaves by their ending; inside a
+shared leaf a word's probability is its share of the leaf's training count, which is the
+maximum-entropy solution for word features alone.  The most frequent words of all are classes of
+their own, other frequent words share classes by their ending, and the last class, which has no
+leaves, holds every other word and one place for unseen words, so the model sums to one over the
+vocabulary plus unseen.
+
+Training.  Word counts come from all training tokens.  Both softmaxes are trained in ``ROUNDS`` rounds of
 distributed gradient updates, each over its own share of the training documents (all of them in
 total): every partition takes stochastic steps from the current weights, and the updates are averaged
-by how often each feature row was used, in two shuffled stages.  Weights have a fixed size.
+by how often each feature row was used, in two shuffled stages that carry used rows only.  Weights
+have a fixed size.
 
 Counts of frequent words (one for each of 2^SLOT_BITS slots) are broadcast; all other words meet
 their counts in a shuffled join on their 64-bit hash.
@@ -35,11 +40,14 @@ SLOT_BITS = 19
 CLASSES, SINGLES = 32, 12
 ROWS = 1 << 13  # hashed rows of each kind of feature
 ROUNDS = 2
+LEAVES, OWN = 32, 16  # leaves of a class, and how many of them are single words
 END = b"\n"
 PIECE = 64  # feature rows that are averaged together
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS = 256  # of word endings, when classes are formed
 N_FEATURES = 3 * ROWS + CLASSES * CLASSES
+N_ROWS = N_FEATURES + 3 * ROWS  # with those that predict leaves
+ROW_TYPE = np.min_scalar_type(N_ROWS)  # short rows sort faster
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -110,14 +118,20 @@ def word_counts(docs: DataFrame, holdout, id_col: str, text_col: str, flush: int
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(ending, pa.int32())], ["h", "c", "ending"])
 
         for b in batches:
+            pairs = []
             for i, text in zip(b.column(0).to_pylist(), b.column(1)):
                 if _is_training(i, *holdout):
                     words = tokens(text.as_py())
                     held.update(words)
                     e = ending_buckets(b" ".join(words[:-1]))
-                    follow += np.bincount(e[:-1] * BUCKETS + e[1:], minlength=len(follow))
+                    pairs.append(e[:-1] * BUCKETS + e[1:])
                     if len(held) > flush:
                         yield out()
+                    if len(pairs) == 256 or len(pairs[-1]) > flush:
+                        follow += np.bincount(np.concatenate(pairs), minlength=len(follow))
+                        pairs = []
+            if pairs:
+                follow += np.bincount(np.concatenate(pairs), minlength=len(follow))
         yield out()
         at = np.flatnonzero(follow)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(follow[at]), pa.array(np.full(len(at), -1, np.int32))], ["h", "c", "ending"])
@@ -127,12 +141,13 @@ def word_counts(docs: DataFrame, holdout, id_col: str, text_col: str, flush: int
 
 
 class Classes:
-    """The bounded part of the model: frequent words by slot, classes, and class counts."""
+    """The bounded part of the model: frequent words by slot, classes and their leaves, and counts of both."""
 
     def __init__(self, slot, key, count, ending, n_total: int, n_words: int, follow: np.ndarray | None = None):
         size = 1 << SLOT_BITS
         self.key, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int64)
         self.of_slot = np.full(size, CLASSES - 1, np.uint8)
+        self.leaf_of_slot = np.zeros(size, np.uint8)
         self.key[slot], self.count[slot] = key, count
         self.n_total, self.n_words = n_total, n_words
         order = np.lexsort((slot, -count))
@@ -140,12 +155,21 @@ class Classes:
         self.of_slot[slot[single]] = np.arange(len(single))
         if len(rest):
             groups = group_endings(np.zeros((BUCKETS, BUCKETS)) if follow is None else follow, CLASSES - 1 - SINGLES)
-            self.of_slot[slot[rest]] = SINGLES + groups[bucket_of_ending(ending[rest].astype(np.int64))]
+            bucket = bucket_of_ending(ending[rest].astype(np.int64))
+            cls = SINGLES + groups[bucket]
+            by_class = np.argsort(cls, kind="stable")
+            rank = np.empty(len(rest), np.int64)
+            rank[by_class] = np.arange(len(rest)) - np.searchsorted(cls[by_class], cls[by_class])
+            self.of_slot[slot[rest]] = cls
+            self.leaf_of_slot[slot[rest]] = np.where(rank < OWN, rank, OWN + bucket % (LEAVES - OWN))
         in_class = np.bincount(self.of_slot[slot], count, minlength=CLASSES)
         self.tail_total, self.tail_words = n_total - int(in_class.sum()), n_words - len(slot)
+        place = self.of_slot.astype(np.int64) * LEAVES + self.leaf_of_slot
+        in_leaf = np.bincount(place[slot], count, minlength=CLASSES * LEAVES)
         with np.errstate(divide="ignore"):
-            # log10 of the share of a frequent word in its class
-            self.log_share = np.where(self.count > 0, np.log10(np.maximum(self.count, 1)) - np.log10(np.maximum(in_class, 1))[self.of_slot], 0.0)
+            self.log_leaf = np.log(in_leaf.reshape(CLASSES, LEAVES) / np.maximum(in_class, 1)[:, None]).astype(np.float32)
+        # log10 of the share of a frequent word in its leaf
+        self.log_share = np.where(self.count > 0, np.log10(np.maximum(self.count, 1)) - np.log10(np.maximum(in_leaf, 1))[place], 0.0)
         self.log_tail = float(np.log10(self.tail_total + self.tail_words + 1))
 
     def look(self, h: np.ndarray):
@@ -167,32 +191,82 @@ def features(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.stack([(h1 * _P) >> top, ((h1 * _Q + h2 * _P + np.uint64(1)) * _Q >> top) + np.uint64(ROWS), ((h2 ^ _Q) * _P >> top) + np.uint64(2 * ROWS), (c1 * CLASSES + c2 + 3 * ROWS).astype(np.uint64)]).astype(np.int64)
 
 
-def log_classes(w: np.ndarray, f: np.ndarray) -> np.ndarray:
-    z = w[f[0]]
+def has_leaves(cls: np.ndarray) -> np.ndarray:
+    return (cls >= SINGLES) & (cls < CLASSES - 1)
+
+
+def leaf_features(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Feature rows that predict the leaf inside ``cls``: the history's rows ``f``, but for the previous two words, joined with the class."""
+    top = np.uint64(64 - (ROWS.bit_length() - 1))
+    joined = (f[[0, 2, 3]].astype(np.uint64) * np.uint64(CLASSES) + cls.astype(np.uint64) + np.uint64(1)) * _P
+    return ((joined ^ joined >> np.uint64(29)) * _Q >> top).astype(np.int64) + N_FEATURES + np.arange(3)[:, None] * ROWS
+
+
+def sums_of_weights(w: np.ndarray, f: np.ndarray, prior: np.ndarray | None) -> np.ndarray:
+    z = np.take(w, f[0], axis=0)
     for k in f[1:]:
-        z += w[k]
+        z += np.take(w, k, axis=0)
+    if prior is not None:
+        z += prior
+    return z
+
+
+def log_softmax(w: np.ndarray, f: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """Log probabilities of all classes, or of all leaves of a class by their log shares ``prior``."""
+    z = sums_of_weights(w, f, prior)
     z -= z.max(axis=1, keepdims=True)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
-def local_steps(w: np.ndarray, seen: np.ndarray, squares: np.ndarray, f: np.ndarray, cls: np.ndarray, rate: float = 0.15) -> None:
+def log_places(w: np.ndarray, classes: Classes, f: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Log probability of each token's class and of its leaf in it."""
+    z = log_softmax(w, f)
+    lp = z[np.arange(len(z)), cls].astype(np.float64)
+    at = np.flatnonzero(has_leaves(cls))
+    z = log_softmax(w, leaf_features(f[:, at], cls[at]), classes.log_leaf[cls[at]])
+    lp[at] += z[np.arange(len(at)), leaf[at]]
+    return lp
+
+
+def summed(g: np.ndarray, row: np.ndarray, layers: int = 8):
+    """(u, n, s): the distinct rows, how often each occurs, and the sums of their lines of ``g``.
+
+    The first lines of all rows are added layer by layer, the few rows with more lines one by one.
+    """
+    order = np.argsort(row.astype(ROW_TYPE), kind="stable")
+    r = row[order]
+    start = np.flatnonzero(np.diff(r, prepend=-1))
+    n = np.diff(start, append=len(r))
+    longest = np.argsort(-n, kind="stable")
+    start, n = start[longest], n[longest]
+    s = np.take(g, order[start], axis=0)
+    more = lambda d: int(np.searchsorted(-n, -d, side="left"))  # noqa: E731 (rows with more than d lines)
+    for d in range(1, layers):
+        m = more(d)
+        s[:m] += np.take(g, order[start[:m] + d], axis=0)
+    for k in range(more(layers)):
+        s[k] += np.take(g, order[start[k] + layers : start[k] + n[k]], axis=0).sum(axis=0)
+    return r[start], n, s
+
+
+def local_steps(w: np.ndarray, seen: np.ndarray, squares: np.ndarray, f: np.ndarray, cls: np.ndarray, prior: np.ndarray | None = None, rate: float = 0.15) -> None:
     """One stochastic (Adagrad) step on a batch of tokens."""
-    g = w[f[0]]
-    for k in f[1:]:
-        g += w[k]
+    g = sums_of_weights(w, f, prior)
     g -= g.max(axis=1, keepdims=True)
     np.exp(g, out=g)
-    g /= g.sum(axis=1, keepdims=True)
+    g /= (g @ np.ones(g.shape[1], g.dtype))[:, None]
     g[np.arange(len(cls)), cls] -= 1
     for row in f:
-        order = np.argsort(row, kind="stable")
-        r = row[order]
-        start = np.flatnonzero(np.diff(r, prepend=-1))
-        u, n = r[start], np.diff(start, append=len(r)).astype(np.float32)
-        s = np.add.reduceat(g[order], start, axis=0) / np.sqrt(n)[:, None]
-        squares[u] += s * s
-        w[u] -= rate * s / np.sqrt(squares[u] + 1e-2)
+        u, n, s = summed(g, row)
+        s /= np.sqrt(n.astype(np.float32))[:, None]
+        q = np.take(squares, u, axis=0)
+        q += s * s
+        squares[u] = q
+        q += np.float32(1e-2)
+        s *= np.float32(rate)
+        s /= np.sqrt(q, out=q)
+        w[u] -= s
         seen[u] += n
 
 
@@ -214,15 +288,15 @@ def _documents(batches, classes: Classes, wanted, size: int = 60_000):
 
 
 def train(docs: DataFrame, classes: Classes, holdout, id_col: str, text_col: str, rounds: int = ROUNDS, batch: int = 2048) -> np.ndarray:
+    import pyarrow as pa
+
     spark = docs.sparkSession
-    w = np.zeros((N_FEATURES, CLASSES), np.float32)
+    w = np.zeros((N_ROWS, CLASSES), np.float32)
     known = spark.sparkContext.broadcast(classes)
     for r in range(rounds):
-        now = spark.sparkContext.broadcast(w)  # N_FEATURES x CLASSES numbers
+        now = spark.sparkContext.broadcast(w)  # N_ROWS x CLASSES numbers
 
         def update(batches, r=r, now=now):
-            import pyarrow as pa
-
             c, w0 = known.value, now.value
             w, seen, squares = w0.copy(), np.zeros(len(w0), np.float32), np.zeros_like(w0)
             share = lambda i: _is_training(i, *holdout) and (zlib.crc32(str(i).encode()) >> 9) % rounds == r
@@ -232,37 +306,39 @@ def train(docs: DataFrame, classes: Classes, holdout, id_col: str, text_col: str
                     some, part = True, zlib.crc32(str(ids[0]).encode())
                 h = np.concatenate(hs)
                 first = np.cumsum([0, *map(len, hs[:-1])])
-                _, _, cls = c.look(h)
+                slot, _, cls = c.look(h)
                 f = features(h, cls, first)
                 for i in range(0, len(h), batch):
                     local_steps(w, seen, squares, f[:, i : i + batch], cls[i : i + batch])
+                at = np.flatnonzero(has_leaves(cls))
+                f, cls, leaf = leaf_features(f[:, at], cls[at]), cls[at], c.leaf_of_slot[slot[at]]
+                for i in range(0, len(at), batch):
+                    local_steps(w, seen, squares, f[:, i : i + batch], leaf[i : i + batch], c.log_leaf[cls[i : i + batch]])
             if some:
                 delta = np.concatenate([(w - w0) * seen[:, None], seen[:, None]], axis=1).astype(np.float32)
-                pieces = [delta[i : i + PIECE].tobytes() for i in range(0, len(delta), PIECE)]
-                at = np.arange(len(pieces))
-                yield pa.RecordBatch.from_arrays([pa.array(at * 64 + part % 64), pa.array(pieces, pa.binary())], ["piece", "sums"])
+                yield messages(((i // PIECE) * 64 + part % 64, delta[i : i + PIECE]) for i in range(0, len(delta), PIECE))
 
-        def add(batches, shift):
-            import pyarrow as pa
+        def messages(pieces):
+            out = [(p, np.flatnonzero(d[:, -1]).astype(np.uint8), d) for p, d in pieces if d[:, -1].any()]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in out], pa.int64()), pa.array([u.tobytes() for _, u, _ in out], pa.binary()), pa.array([d[u].tobytes() for _, u, d in out], pa.binary())], ["piece", "used", "sums"])
 
+        def add(batches, shift):
             out = []
             for t in blocks(batches, "piece"):
-                total = np.zeros(len(t.column("sums")[0].as_py()) // 4, np.float32)
-                for x in t.column("sums"):
-                    total += np.frombuffer(x.as_py(), np.float32)
-                out.append((t.column("piece")[0].as_py() // shift, total.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["piece", "sums"])
+                total = np.zeros((PIECE, CLASSES + 1), np.float32)
+                for u, x in zip(t.column("used"), t.column("sums")):
+                    total[np.frombuffer(u.as_py(), np.uint8)] += np.frombuffer(x.as_py(), np.float32).reshape(-1, CLASSES + 1)
+                out.append((t.column("piece")[0].as_py() // shift, total))
+            yield messages(out)
 
-        schema = "piece long, sums binary"
+        schema = "piece long, used binary, sums binary"
         sums = docs.select(id_col, text_col).mapInArrow(update, schema)
         for shift in (64, 1):  # partitions' sums meet in 64 salted groups of each piece, then once more
             sums = sums.repartition("piece").sortWithinPartitions("piece").mapInArrow(lambda b, shift=shift: add(b, shift), schema)
         w = w.copy()
         for row in sums.toArrow().to_pylist():  # as large as the weights
             d = np.frombuffer(row["sums"], np.float32).reshape(-1, CLASSES + 1)
-            used = d[:, -1] > 0
-            at = row["piece"] * PIECE
-            w[at : at + len(d)][used] += d[used, :-1] / d[used, -1:]
+            w[row["piece"] * PIECE + np.frombuffer(row["used"], np.uint8).astype(np.int64)] += d[:, :-1] / d[:, -1:]
         now.unpersist()
     return w
 
@@ -283,8 +359,8 @@ def score(docs: DataFrame, counts: DataFrame, classes: Classes, w: np.ndarray, h
             f = features(h, cls, first)
             lp = np.empty(len(h))
             for i in range(0, len(h), 4096):
-                z = log_classes(w, f[:, i : i + 4096])
-                lp[i : i + 4096] = z[np.arange(len(z)), cls[i : i + 4096]]
+                some = slice(i, i + 4096)
+                lp[some] = log_places(w, c, f[:, some], cls[some], c.leaf_of_slot[slot[some]])
             lp = lp / np.log(10) + np.where(known, c.log_share[slot], 0.0)
             base = np.where(known, np.log10(np.maximum(c.count[slot], 0) + 1.0), 0.0)
             by = lambda x: np.add.reduceat(x.astype(np.float64), first)

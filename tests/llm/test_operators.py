@@ -225,14 +225,48 @@ def test_lm_is_a_distribution():
     slot = (h & np.uint64((1 << maxent_lm.SLOT_BITS) - 1)).astype(np.int64)
     heads = (np.arange(0, 500) % 3 > 0) & np.isin(np.arange(500), np.unique(slot, return_index=True)[1])  # one frequent word for each slot
     c = maxent_lm.Classes(slot[heads], h[heads], count[heads], rng.integers(0, 999, heads.sum()), int(count.sum()), 500)
-    w = rng.normal(size=(maxent_lm.N_FEATURES, maxent_lm.CLASSES)).astype(np.float32)
+    w = rng.normal(size=(maxent_lm.N_ROWS, maxent_lm.CLASSES)).astype(np.float32)
     f = maxent_lm.features(h[:3], c.look(h[:3])[2], np.array([0]))
-    lp = maxent_lm.log_classes(w, f)[2]
+    lp = maxent_lm.log_softmax(w, f)[2]
     s, known, cls = c.look(h)
+    after = maxent_lm.log_places(w, c, np.repeat(f[:, 2:], len(h), axis=1), cls, c.leaf_of_slot[s])  # every word after the same two
     inside = np.where(known, 10 ** c.log_share[s], (count + 1) / 10**c.log_tail)
     unseen = np.exp(lp[-1]) / 10**c.log_tail
     empty = sum(np.exp(lp[k]) for k in range(maxent_lm.CLASSES - 1) if not (cls == k).any())
-    assert (np.exp(lp[cls]) * inside).sum() + unseen + empty == pytest.approx(1, abs=1e-4)
+    assert (np.exp(after) * inside).sum() + unseen + empty == pytest.approx(1, abs=1e-4)
+    leafy = np.flatnonzero(maxent_lm.has_leaves(cls))
+    assert len({(cls[i], c.leaf_of_slot[s[i]]) for i in leafy}) > 20  # several leaves a class
+    for i in leafy[:40]:  # one word's class and leaf worked out plainly
+        a, b = cls[i], c.leaf_of_slot[s[i]]
+        z = c.log_leaf[a] + sum(w[r] for r in maxent_lm.leaf_features(f[:, 2:], np.array([a]))[:, 0])
+        assert after[i] == pytest.approx(lp[a] + z[b] - np.log(np.exp(z.astype(float)).sum()), abs=1e-3)
+
+
+def test_lm_sums_of_equal_feature_rows():
+    rng = np.random.default_rng(4)
+    g, row = rng.normal(size=(3000, 5)), (rng.random(3000) ** 6 * 900).astype(np.int64)
+    u, n, s = maxent_lm.summed(g, row)
+    assert sorted(u) == sorted(set(row))
+    for a, b, c in zip(u, n, s):
+        assert b == (row == a).sum() and np.allclose(c, g[row == a].sum(axis=0))
+
+
+def test_lm_predicts_words_inside_a_class(spark):
+    """Words with one ending: 12 are classes, 16 are leaves of one class, and the previous word leaves three of them open.
+
+    Without leaves the gain could be 0.97 - 16 / 28 * (log10(16) - log10(1.7)), about 0.42.
+    """
+    rng = np.random.default_rng(8)
+    names = ["".join(rng.choice(list("bdgklmprst"), 5)) + "en" for _ in range(28)]
+    data = []
+    for i in range(1500):
+        at = [int(rng.integers(28))]
+        for _ in range(50):
+            at.append((at[-1] * 5 + int(rng.integers(3))) % 28)
+        data.append((i, " ".join(names[k] for k in at)))
+    held = [r for r in rows(maxent_lm.lm_scores(spark.createDataFrame(data, "doc_id long, text string"))) if r["held_out"]]
+    gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
+    assert gain > 0.6  # at most log10(28 / 3) = 0.97
 
 
 # 4: near-duplicates
