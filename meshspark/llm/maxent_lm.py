@@ -211,21 +211,31 @@ def sums_of_weights(w: np.ndarray, f: np.ndarray, prior: np.ndarray | None) -> n
     return z
 
 
+def row_max(z: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(z.T).max(axis=0)[:, None]  # faster than along short rows
+
+
 def log_softmax(w: np.ndarray, f: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     """Log probabilities of all classes, or of all leaves of a class by their log shares ``prior``."""
     z = sums_of_weights(w, f, prior)
-    z -= z.max(axis=1, keepdims=True)
+    z -= row_max(z)
     z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
     return z
 
 
+def log_chosen(w: np.ndarray, f: np.ndarray, chosen: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
+    """``log_softmax`` at one column of each line."""
+    z = sums_of_weights(w, f, prior)
+    z -= row_max(z)
+    out = z[np.arange(len(z)), chosen].astype(np.float64)
+    return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+
+
 def log_places(w: np.ndarray, classes: Classes, f: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     """Log probability of each token's class and of its leaf in it."""
-    z = log_softmax(w, f)
-    lp = z[np.arange(len(z)), cls].astype(np.float64)
+    lp = log_chosen(w, f, cls)
     at = np.flatnonzero(has_leaves(cls))
-    z = log_softmax(w, leaf_features(f[:, at], cls[at]), classes.log_leaf[cls[at]])
-    lp[at] += z[np.arange(len(at)), leaf[at]]
+    lp[at] += log_chosen(w, leaf_features(f[:, at], cls[at]), leaf[at], classes.log_leaf[cls[at]])
     return lp
 
 
@@ -253,7 +263,7 @@ def summed(g: np.ndarray, row: np.ndarray, layers: int = 8):
 def local_steps(w: np.ndarray, seen: np.ndarray, squares: np.ndarray, f: np.ndarray, cls: np.ndarray, prior: np.ndarray | None = None, rate: float = 0.15) -> None:
     """One stochastic (Adagrad) step on a batch of tokens."""
     g = sums_of_weights(w, f, prior)
-    g -= g.max(axis=1, keepdims=True)
+    g -= row_max(g)
     np.exp(g, out=g)
     g /= (g @ np.ones(g.shape[1], g.dtype))[:, None]
     g[np.arange(len(cls)), cls] -= 1
