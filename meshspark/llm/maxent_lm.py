@@ -43,6 +43,7 @@ ROUNDS = 2
 LEAVES, OWN = 32, 16  # leaves of a class, and how many of them are single words
 END = b"\n"
 PIECE = 64  # feature rows that are averaged together
+SALTS = 8  # groups of tasks whose updates are first summed among themselves
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 BUCKETS = 256  # of word endings, when classes are formed
 N_FEATURES = 3 * ROWS + CLASSES * CLASSES
@@ -306,6 +307,10 @@ def train(docs: DataFrame, classes: Classes, holdout, id_col: str, text_col: str
     for r in range(rounds):
         now = spark.sparkContext.broadcast(w)  # N_ROWS x CLASSES numbers
 
+        # a task sends its updates once, however many input partitions it reads
+        parts = docs.rdd.getNumPartitions()
+        tasks = max(1, min(parts, 4 * spark.sparkContext.defaultParallelism), -(-parts // 8))
+
         def update(batches, r=r, now=now):
             c, w0 = known.value, now.value
             w, seen, squares = w0.copy(), np.zeros(len(w0), np.float32), np.zeros_like(w0)
@@ -326,7 +331,7 @@ def train(docs: DataFrame, classes: Classes, holdout, id_col: str, text_col: str
                     local_steps(w, seen, squares, f[:, i : i + batch], leaf[i : i + batch], c.log_leaf[cls[i : i + batch]])
             if some:
                 delta = np.concatenate([(w - w0) * seen[:, None], seen[:, None]], axis=1).astype(np.float32)
-                yield messages(((i // PIECE) * 64 + part % 64, delta[i : i + PIECE]) for i in range(0, len(delta), PIECE))
+                yield messages(((i // PIECE) * SALTS + part % SALTS, delta[i : i + PIECE]) for i in range(0, len(delta), PIECE))
 
         def messages(pieces):
             out = [(p, np.flatnonzero(d[:, -1]).astype(np.uint8), d) for p, d in pieces if d[:, -1].any()]
@@ -342,8 +347,8 @@ def train(docs: DataFrame, classes: Classes, holdout, id_col: str, text_col: str
             yield messages(out)
 
         schema = "piece long, used binary, sums binary"
-        sums = docs.select(id_col, text_col).mapInArrow(update, schema)
-        for shift in (64, 1):  # partitions' sums meet in 64 salted groups of each piece, then once more
+        sums = docs.select(id_col, text_col).coalesce(tasks).mapInArrow(update, schema)
+        for shift in (SALTS, 1):  # tasks' sums meet in SALTS groups of each piece, then once more
             sums = sums.repartition("piece").sortWithinPartitions("piece").mapInArrow(lambda b, shift=shift: add(b, shift), schema)
         w = w.copy()
         for row in sums.toArrow().to_pylist():  # as large as the weights
