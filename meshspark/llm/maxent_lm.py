@@ -45,6 +45,7 @@ END = b"\n"
 PIECE = 64  # feature rows that are averaged together
 SALTS = 8  # groups of tasks whose updates are first summed among themselves
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+CACHED = 1024  # feature rows that are updated at a time, so that they stay in a core's cache
 BUCKETS = 256  # of word endings, when classes are formed
 N_FEATURES = 3 * ROWS + CLASSES * CLASSES
 N_ROWS = N_FEATURES + 3 * ROWS  # with those that predict leaves
@@ -216,6 +217,19 @@ def row_max(z: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(z.T).max(axis=0)[:, None]  # faster than along short rows
 
 
+def exp_lines(z: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
+    """(exp(z - m), its sum along each line, m): m are the maxima of lines where float32 could leave its range, else 0."""
+    ones = np.ones(z.shape[1], z.dtype)
+    if z.max(initial=0) < 60:  # no sum overflows
+        e = np.exp(z)
+        total = e @ ones
+        if total.min(initial=1) > 1e-20:
+            return e, total, 0.0
+    m = row_max(z)
+    e = np.exp(z - m)
+    return e, e @ ones, m[:, 0]
+
+
 def log_softmax(w: np.ndarray, f: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     """Log probabilities of all classes, or of all leaves of a class by their log shares ``prior``."""
     z = sums_of_weights(w, f, prior)
@@ -227,9 +241,8 @@ def log_softmax(w: np.ndarray, f: np.ndarray, prior: np.ndarray | None = None) -
 def log_chosen(w: np.ndarray, f: np.ndarray, chosen: np.ndarray, prior: np.ndarray | None = None) -> np.ndarray:
     """``log_softmax`` at one column of each line."""
     z = sums_of_weights(w, f, prior)
-    z -= row_max(z)
-    out = z[np.arange(len(z)), chosen].astype(np.float64)
-    return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
+    _, total, m = exp_lines(z)
+    return z[np.arange(len(z)), chosen].astype(np.float64) - m - np.log(total)
 
 
 def log_places(w: np.ndarray, classes: Classes, f: np.ndarray, cls: np.ndarray, leaf: np.ndarray) -> np.ndarray:
@@ -240,45 +253,48 @@ def log_places(w: np.ndarray, classes: Classes, f: np.ndarray, cls: np.ndarray,
     return lp
 
 
-def summed(g: np.ndarray, row: np.ndarray, layers: int = 8):
+def summed(g: np.ndarray, row: np.ndarray, layers: int = 16):
     """(u, n, s): the distinct rows, how often each occurs, and the sums of their lines of ``g``.
 
-    The first lines of all rows are added layer by layer, the few rows with more lines one by one.
+    ``row`` gives rows of every line for one feature after the other; features share no rows.  The first
+    lines of all rows are added layer by layer, those left of the few rows with more by a product with zeros and ones.
     """
     order = np.argsort(row.astype(ROW_TYPE), kind="stable")
-    r = row[order]
-    start = np.flatnonzero(np.diff(r, prepend=-1))
+    r, line = row[order], order % len(g)
+    start = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
     n = np.diff(start, append=len(r))
-    longest = np.argsort(-n, kind="stable")
+    longest = np.argsort((len(g) - n).astype(np.min_scalar_type(len(g))), kind="stable")
     start, n = start[longest], n[longest]
-    s = np.take(g, order[start], axis=0)
-    more = lambda d: int(np.searchsorted(-n, -d, side="left"))  # noqa: E731 (rows with more than d lines)
+    more = np.searchsorted(-n, -np.arange(layers + 1), side="left")  # rows with more than d lines
+    s = np.take(g, line[start], axis=0)
     for d in range(1, layers):
-        m = more(d)
-        s[:m] += np.take(g, order[start[:m] + d], axis=0)
-    for k in range(more(layers)):
-        s[k] += np.take(g, order[start[k] + layers : start[k] + n[k]], axis=0).sum(axis=0)
+        s[: more[d]] += np.take(g, line[start[: more[d]] + d], axis=0)
+    if k := more[layers]:
+        left = n[:k] - layers
+        of, first = np.repeat(np.arange(k), left), np.cumsum(left) - left
+        hot = np.zeros((k, len(g)), g.dtype)
+        hot[of, line[(start[:k] + layers - first)[of] + np.arange(len(of))]] = 1
+        s[:k] += hot @ g
     return r[start], n, s
 
 
 def local_steps(w: np.ndarray, seen: np.ndarray, squares: np.ndarray, f: np.ndarray, cls: np.ndarray, prior: np.ndarray | None = None, rate: float = 0.15) -> None:
     """One stochastic (Adagrad) step on a batch of tokens."""
-    g = sums_of_weights(w, f, prior)
-    g -= row_max(g)
-    np.exp(g, out=g)
-    g /= (g @ np.ones(g.shape[1], g.dtype))[:, None]
+    g, total, _ = exp_lines(sums_of_weights(w, f, prior))
+    g /= total[:, None]
     g[np.arange(len(cls)), cls] -= 1
-    for row in f:
-        u, n, s = summed(g, row)
-        s /= np.sqrt(n.astype(np.float32))[:, None]
+    rows, times, sums = summed(g, f.ravel())
+    seen[rows] += times
+    for i in range(0, len(rows), CACHED):
+        u, s = rows[i : i + CACHED], sums[i : i + CACHED]
+        s /= np.sqrt(times[i : i + CACHED].astype(np.float32))[:, None]
         q = np.take(squares, u, axis=0)
         q += s * s
         squares[u] = q
         q += np.float32(1e-2)
         s *= np.float32(rate)
         s /= np.sqrt(q, out=q)
-        w[u] -= s
-        seen[u] += n
+        w[u] = np.subtract(np.take(w, u, axis=0), s, out=q)
 
 
 def _documents(batches, classes: Classes, wanted, size: int = 60_000):

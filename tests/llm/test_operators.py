@@ -251,6 +251,43 @@ def test_lm_sums_of_equal_feature_rows():
         assert b == (row == a).sum() and np.allclose(c, g[row == a].sum(axis=0))
 
 
+def test_lm_sums_of_several_features_at_once():
+    """Rows of three features in one call, so that a step sorts once; some rows have far more lines than are added in layers."""
+    rng = np.random.default_rng(5)
+    g, f = rng.normal(size=(2048, 4)), np.stack([(rng.random(2048) ** 8 * 700).astype(np.int64) + 700 * k for k in range(3)])
+    u, n, s = maxent_lm.summed(g, f.ravel())
+    assert sorted(u) == sorted(set(f.ravel())) and n.max() > 200
+    for a, b, c in zip(u, n, s):
+        at = (f == a).any(axis=0)
+        assert b == at.sum() and np.allclose(c, g[at].sum(axis=0))
+
+
+def test_lm_step_is_a_plain_adagrad_step():
+    rng = np.random.default_rng(6)
+    f, cls = np.stack([rng.integers(0, 40, 500) + 40 * k for k in range(4)]), rng.integers(0, 5, 500)
+    w, squares, seen = rng.normal(size=(160, 5)).astype(np.float32), rng.random((160, 5)).astype(np.float32), np.zeros(160, np.float32)
+    z = w[f].sum(axis=0).astype(float)
+    g = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True) - np.eye(5)[cls]
+    grad, n = np.zeros((160, 5)), np.bincount(f.ravel(), minlength=160)
+    for row in f:
+        np.add.at(grad, row, g)
+    grad /= np.sqrt(np.maximum(n, 1))[:, None]
+    want_squares = squares + grad**2
+    want = w - 0.15 * grad / np.sqrt(want_squares + 1e-2)
+    maxent_lm.local_steps(w, seen, squares, f, cls)
+    assert np.allclose(w, want, atol=1e-4) and np.allclose(squares, want_squares, rtol=1e-3, atol=1e-4) and (seen == n).all()
+
+
+def test_lm_lines_beyond_the_range_of_exp():
+    """Alone and beside others, a line's log probabilities are the same; an empty batch has none."""
+    z = np.array([[0, 1, -2], [200, 199, -300], [-200, -201, -500], [-np.inf, 3, 4]], np.float32)
+    want = z.astype(float)
+    want = want[:, 1] - want.max(axis=1) - np.log(np.exp(want - want.max(axis=1, keepdims=True)).sum(axis=1))
+    for at in ([0, 1, 2, 3], [0, 3], [0, 2], [1], []):
+        got = maxent_lm.log_chosen(z, np.array([at], np.int64), np.ones(len(at), np.int64))
+        assert np.allclose(got, want[at], atol=1e-4)
+
+
 def test_lm_predicts_words_inside_a_class(spark):
     """Words with one ending: 12 are classes, 16 are leaves of one class, and the previous word leaves three of them open.
 
