@@ -99,6 +99,29 @@ def test_repeats_against_brute_force(spark, hot, monkeypatch):
         assert sum(x["to"] - x["from"] for x in r.runs) == w[1]
 
 
+def test_a_common_passage_is_dealt_to_all_tasks(spark, monkeypatch):
+    """4,500 neighbours of one passage have more different segments than a task sorts at a time."""
+    rng, dealt, deal = np.random.default_rng(1), [], repeats._hot_finds
+    monkeypatch.setattr(repeats, "_hot_finds", lambda distinct, length: dealt.append(distinct.agg({"windows": "sum"}).first()[0]) or deal(distinct, length))
+    some = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    passage, k = some(400), 140
+    texts = [some(k) + passage + some(k) for _ in range(4500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc.doc_id: [(x["from"], x["to"]) for x in r.runs] for r in repeats.without_repeats(df).collect()}
+    assert len(dealt) == 1 and dealt[0] > 4500
+    # a window besides the passage is repeated where the bytes next to it agree with another document's
+    def agreeing(sides):
+        order = sorted(range(len(sides)), key=sides.__getitem__)
+        most = [0] * len(sides)
+        for i, j in zip(order, order[1:]):
+            n = next(n for n in range(k + 1) if n == k or sides[i][n] != sides[j][n])
+            most[i], most[j] = max(most[i], n), max(most[j], n)
+        return most
+
+    left, right = agreeing([t[:k][::-1] for t in texts]), agreeing([t[k + 400 :] for t in texts])
+    assert got == {i: [(k - a, k + 400 + b)] for i, (a, b) in enumerate(zip(left, right))}
+
+
 def test_empty_table_and_query(spark, no_docs, tmp_path):
     from meshspark.llm import queries
 
