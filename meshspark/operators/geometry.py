@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scales import RADIUS, cyclic_wrap
+from ..sources.tables import large
 from .topology import incidence
 
 
@@ -22,7 +23,7 @@ def triangle_geometry(elements: DataFrame, nodes: DataFrame, meshtype: str = "r"
     ocean = [F.first("ocean").alias("ocean")] if "ocean" in elements.columns else []
     inc = incidence(elements) if not ocean else elements.select("elem_id", "ocean", F.posexplode("nodes").alias("k", "node_id"))
     corner = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    e = inc.join(nodes.select("node_id", "x", "y"), "node_id").groupBy("elem_id").agg(*[corner("node_id", k).alias(f"n{k}") for k in range(3)], *[corner(c, k).alias(f"{c}{k}") for k in range(3) for c in "xy"], *ocean)
+    e = large(inc).join(nodes.select("node_id", "x", "y"), "node_id").groupBy("elem_id").agg(*[corner("node_id", k).alias(f"n{k}") for k in range(3)], *[corner(c, k).alias(f"{c}{k}") for k in range(3) for c in "xy"], *ocean)
     if meshtype == "m":
         x2, x3, y2, y3, mt = F.col("x1") - F.col("x0"), F.col("x2") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("y2") - F.col("y0"), F.lit(1.0)
     else:

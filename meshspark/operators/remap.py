@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import large
 from .geometry import corners
 
 
 def elements_to_nodes(field: DataFrame, geometry: DataFrame, areas: DataFrame, columns: list[str], ocean: DataFrame | None = None, keys=()) -> DataFrame:
     """(keys, node_id, columns): area-weighted mean of incident elements; 0 on nodes outside ``ocean`` (node_id)."""
-    inc = corners(geometry, "elem_area").join(field.select(*keys, "elem_id", *columns), "elem_id")
-    sums = inc.groupBy(*keys, "node_id").agg(*[F.sum(F.col(c) * F.col("elem_area")).alias(c) for c in columns]).join(areas, "node_id")
+    inc = large(corners(geometry, "elem_area")).join(field.select(*keys, "elem_id", *columns), "elem_id")
+    sums = large(inc.groupBy(*keys, "node_id").agg(*[F.sum(F.col(c) * F.col("elem_area")).alias(c) for c in columns])).join(areas, "node_id")
     out = sums.select(*keys, "node_id", *[(F.col(c) / 3 / F.col("area")).alias(c) for c in columns])
     if ocean is None:
         return out

@@ -11,7 +11,7 @@ from .operators import assembly, geometry, remap, topology
 from .plans import filters, prepare, solver
 from .sources import fixtures, store
 from .sources.store import PreparedMesh
-from .sources.tables import cut, load_table, shared_folder
+from .sources.tables import cut, large, load_table, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -339,7 +339,7 @@ _EF = "ef AS (SELECT elem_id, bal / 1000 + elem_id % 2 AS value, bal / 2000 + na
 def elem_field(lattice):
     """Values on elements from the customer at their first node."""
     at = lattice.nodes.select(F.col("node_id").alias("_n0"), "value", "nation")
-    e = lattice.elements.join(at, F.get("nodes", F.lit(0)) == F.col("_n0"))
+    e = large(lattice.elements).join(at, F.get("nodes", F.lit(0)) == F.col("_n0"))
     return e.select("elem_id", (F.col("value") + F.col("elem_id") % 2).alias("value"), (F.col("value") / 2 + F.col("nation")).alias("other"))
 
 

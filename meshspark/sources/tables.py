@@ -11,6 +11,11 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def large(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast: rows made by ``explode`` are estimated at the size of the rows they come from."""
+    return df.hint("merge")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a single machine has its own where that is unset, a cluster raises."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

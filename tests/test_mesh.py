@@ -277,3 +277,11 @@ def test_stream(spark, tmp_path):
 
 def test_queries_are_checked_by_sql():
     assert set(Q.oracle_sql()) == set(Q.queries())
+
+
+@pytest.mark.parametrize("name", ["elem_to_node_scalar"])
+def test_exploded_rows_are_not_broadcast(spark, name):
+    """Their size is estimated at that of the rows before ``explode``: with 900,000 nodes the driver had no memory for them."""
+    df = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
