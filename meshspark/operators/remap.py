@@ -16,7 +16,7 @@ def elements_to_nodes(field: DataFrame, geometry: DataFrame, areas: DataFrame, c
     out = sums.select(*keys, "node_id", *[(F.col(c) / 3 / F.col("area")).alias(c) for c in columns])
     if ocean is None:
         return out
-    flagged = out.join(ocean.select("node_id", F.lit(True).alias("_ocean")), "node_id", "left")
+    flagged = large(out).join(ocean.select("node_id", F.lit(True).alias("_ocean")), "node_id", "left")
     return flagged.select(*keys, "node_id", *[F.when(F.col("_ocean"), F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in columns])
 
 

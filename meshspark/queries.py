@@ -282,7 +282,7 @@ _MNODE = "mn AS (SELECT node_id, bool_or(ocean) AS ocean FROM inc JOIN me USING
 def tri_masked(lattice):
     """Elements whose first node's nation is of a certain kind are ocean."""
     at = lattice.nodes.select(F.col("node_id").alias("_n0"), (F.col("nation") % 7 < 4).alias("ocean"))
-    return lattice.elements.join(at, F.get("nodes", F.lit(0)) == F.col("_n0")).drop("_n0")
+    return large(lattice.elements).join(at, F.get("nodes", F.lit(0)) == F.col("_n0")).drop("_n0")
 
 
 @query(f"WITH {TRI}, {INC}, {ST}, {_MEL}, {_MNODE} SELECT i, j, {s6('s', 's')} FROM st JOIN mn a ON a.node_id = i AND a.ocean JOIN mn b ON b.node_id = j AND b.ocean")

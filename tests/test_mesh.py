@@ -279,7 +279,7 @@ def test_queries_are_checked_by_sql():
     assert set(Q.oracle_sql()) == set(Q.queries())
 
 
-@pytest.mark.parametrize("name", ["elem_to_node_scalar"])
+@pytest.mark.parametrize("name", ["elem_to_node_scalar", "elem_to_node_velocity"])
 def test_exploded_rows_are_not_broadcast(spark, name):
     """Their size is estimated at that of the rows before ``explode``: with 900,000 nodes the driver had no memory for them."""
     df = Q.QUERIES[name](spark, "/root/testdata/sf0.001")
