@@ -126,18 +126,24 @@ def _address(pack: pd.DataFrame, needs: pd.DataFrame) -> pd.DataFrame:
     return pack.drop(columns="needs").assign(sends=[sends])
 
 
+def dealt(mesh: PreparedMesh, size: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """(node_id, block); the operator's rows (block, i, j, s, other), a zero on every diagonal; how many blocks, and buckets for them."""
+    spark = mesh.node.sparkSession
+    n = mesh.node.count()
+    parts = max(1, -(-n // size))
+    buckets = int(min(parts, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    nodes = cut(curve(mesh.node, mesh.grid).repartitionByRange(parts, "z", "node_id").withColumn("block", F.spark_partition_id().cast("long")).select("node_id", "block"), "mesh-blocks")
+    known = lambda c, b: nodes.select(F.col("node_id").alias(c), F.col("block").alias(b))
+    rows = mesh.operator.select("i", "j", "s").unionByName(mesh.node.select(F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0.0).alias("s")))
+    return nodes, rows.join(known("i", "block"), "i").join(known("j", "other"), "j"), parts, buckets
+
+
 class BlockedMesh:
     """A mesh's operator in blocks; made once and used by every solve."""
 
     def __init__(self, mesh: PreparedMesh, size: int = BLOCK_NODES):
-        spark = mesh.node.sparkSession
-        n = mesh.node.count()
-        parts = max(1, -(-n // size))
-        self.buckets = int(min(parts, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-        self.nodes = cut(curve(mesh.node, mesh.grid).repartitionByRange(parts, "z", "node_id").withColumn("block", F.spark_partition_id().cast("long")).select("node_id", "block"), "mesh-blocks")
-        known = lambda c, b: self.nodes.select(F.col("node_id").alias(c), F.col("block").alias(b))
-        rows = mesh.operator.select("i", "j", "s").unionByName(mesh.node.select(F.col("node_id").alias("i"), F.col("node_id").alias("j"), F.lit(0.0).alias("s")))
-        packs = cut(rows.join(known("i", "block"), "i").join(known("j", "other"), "j").groupBy("block").applyInPandas(_pack, PACKED + NEEDS), "mesh-packs")
+        self.nodes, rows, _, self.buckets = dealt(mesh, size)
+        packs = cut(rows.groupBy("block").applyInPandas(_pack, PACKED + NEEDS), "mesh-packs")
         needs = packs.select(F.col("block").alias("dst"), F.explode("needs").alias("n")).select("dst", "n.*")
         self.op = Bucketed(packs.groupBy("block").cogroup(needs.groupBy("src")).applyInPandas(_address, PACKED + SENDS), self.buckets)
         removed(packs)
@@ -260,6 +266,27 @@ class Steps:
     def scalars(self, blob):
         return np.frombuffer(blob, complex).reshape(-1, self.systems)
 
+    def start(self, placed: DataFrame, ids: list, buckets: int) -> Bucketed:
+        """Each block's (phi, zero, d) of the fields ``ids``."""
+
+        def pack(pdf):
+            block, n = int(pdf["block"].iloc[0]), len(pdf) // len(ids)
+            pdf = pdf.sort_values(["_f", "node_id"])
+            value, k = (pdf[c].to_numpy(np.float64).reshape(len(ids), n) for c in ("value", "k"))
+            phi, d = np.repeat(value, self.n_roots, 0), np.repeat(1 / k**2, self.n_roots, 0)
+            return pd.DataFrame([self.row(block, [phi, np.zeros_like(phi), d], [np.zeros(self.systems)], [0.0], self.systems, [])])
+
+        return Bucketed(placed.groupBy("block").applyInPandas(pack, STATE), buckets)
+
+    def filtered(self, ids: list, nodes, phi, x) -> pa.RecordBatch:
+        """(_f, node_id, filtered) of a block: the mean over the roots."""
+        low = phi[:: self.n_roots].real + np.einsum("r,frm->fm", self.weight, x.real.reshape(len(ids), self.n_roots, -1))
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(nodes))), pa.array(np.tile(nodes, len(ids))), pa.array(low.ravel())], ["_f", "node_id", "filtered"])
+
+    def answer(self, op: DataFrame, state: DataFrame, placed: DataFrame, unpack) -> DataFrame:
+        solved = op.select("block", "ids").join(state.select("block", "vectors"), "block").mapInArrow(unpack, "_f long, node_id long, filtered double")
+        return cut(placed.join(solved, ["_f", "node_id"]).select("_f", "node_id", "value", "k", "filtered"), "filtered")
+
     def send(self, b: Block, block, state, got, sums):
         """From (phi, x, d, ...): what neighbours need for the residual."""
         phi, x, d = self.vectors(state["vectors"], 3)
@@ -322,7 +349,7 @@ class Steps:
         return self.row(block, [phi, x, d], [goal], _flat(np.zeros(self.systems)), 0, b.outgoing(d * (phi + x)))
 
 
-def exchanged(op: DataFrame, state: DataFrame, work) -> DataFrame:
+def exchanged(op: DataFrame, state: DataFrame, work, block: type = Block) -> DataFrame:
     """One step: each block meets what its neighbours sent, and the sums of all blocks' dots (one row), and ``work`` makes its next state."""
     mail = state.select(F.explode("out").alias("o")).select(F.col("o.dst").alias("block"), F.struct("o.slots", "o.data").alias("o")).groupBy("block").agg(F.collect_list("o").alias("got"))
     sums = state.select(F.posexplode("dots").alias("k", "x")).groupBy("k").agg(F.sum("x").alias("x")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("sums"))
@@ -331,7 +358,7 @@ def exchanged(op: DataFrame, state: DataFrame, work) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                out = work(Block(row), row["block"], row, row["got"], row["sums"])
+                out = work(block(row), row["block"], row, row["got"], row["sums"])
                 yield pa.RecordBatch.from_pylist([out], schema=TYPES)
 
     return rows.mapInArrow(run, STATE)
@@ -342,6 +369,11 @@ def blocked_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order:
     from .solver import SolverNotConvergedError
 
     blocked = mesh.cache.get(("blocks", size)) or mesh.cache.setdefault(("blocks", size), BlockedMesh(mesh, size))
+    return in_batches(blocked.nodes, fields, keys, order, lambda placed: _solve_batch(blocked, placed, order, tol, most, stats, SolverNotConvergedError))
+
+
+def in_batches(nodes: DataFrame, fields: DataFrame, keys: list[str], order: int, batch) -> DataFrame | None:
+    """(fields, filtered) by ``batch``, which gets (_f, node_id, block, value, k) of as many fields as make up to SYSTEMS; None once it has none."""
     names = cut(fields.select(*keys).distinct().withColumn("_f", F.monotonically_increasing_id()), "fields")
     per = max(1, SYSTEMS // len(roots(order)[0]))
     at = fields
@@ -351,10 +383,12 @@ def blocked_solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order:
     for c in keys:
         one = F.col(f"_k_{c}").eqNullSafe(F.col(c))
         same = one if same is None else same & one
-    placed = cut((at.join(names, same) if keys else at.crossJoin(names)).select("_f", "node_id", "value", "k").join(blocked.nodes, "node_id").withColumn("_batch", F.floor(F.col("_f") / per)), "fields")
+    placed = cut((at.join(names, same) if keys else at.crossJoin(names)).select("_f", "node_id", "value", "k").join(nodes, "node_id").withColumn("_batch", F.floor(F.col("_f") / per)), "fields")
     done = []
     for r in placed.select("_batch").distinct().orderBy("_batch").collect():  # at most fields / per, plus a few
-        done.append(_solve_batch(blocked, placed.filter(F.col("_batch") == r["_batch"]), order, tol, most, stats, SolverNotConvergedError))
+        done.append(batch(placed.filter(F.col("_batch") == r["_batch"])))
+        if done[-1] is None:
+            return None
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
@@ -365,18 +399,8 @@ def _solve_batch(blocked: BlockedMesh, placed: DataFrame, order: int, tol: float
     op, buckets = blocked.op.df, blocked.buckets
     ids = [r["_f"] for r in placed.select("_f").distinct().orderBy("_f").collect()]  # at most SYSTEMS
     steps = Steps(order, len(ids), tol)
-    n_roots, kind = steps.n_roots, steps.kind
-
-    def pack(pdf):
-        block, n = int(pdf["block"].iloc[0]), len(pdf) // len(ids)
-        pdf = pdf.sort_values(["_f", "node_id"])
-        value, k = (pdf[c].to_numpy(np.float64).reshape(len(ids), n) for c in ("value", "k"))
-        phi, d = np.repeat(value, n_roots, 0), np.repeat(1 / k**2, n_roots, 0)
-        return pd.DataFrame([{"block": block, "vectors": np.stack([phi, np.zeros_like(phi), d]).astype(kind).tobytes(), "scalars": np.zeros((1, steps.systems), complex).tobytes(), "dots": [0.0], "open": steps.systems, "out": []}])
-
     step = lambda state, f: Bucketed(exchanged(op, state.df, f), buckets, dealt=True)
-    own = Bucketed(placed.groupBy("block").applyInPandas(pack, STATE), buckets)
-    state, n = own, 0
+    state, n = steps.start(placed, ids, buckets), 0
 
     def go(f):
         nonlocal state
@@ -411,12 +435,10 @@ def _solve_batch(blocked: BlockedMesh, placed: DataFrame, order: int, tol: float
         for batch in batches:
             for row in batch.to_pylist():
                 nodes = np.frombuffer(row["ids"], np.int64)
-                phi, x, *_, d = steps.vectors(row["vectors"], 10)
-                low = phi[::n_roots].real + np.einsum("r,frm->fm", steps.weight, x.real.reshape(len(ids), n_roots, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, len(nodes))), pa.array(np.tile(nodes, len(ids))), pa.array(low.ravel())], ["_f", "node_id", "filtered"])
+                phi, x, *_ = steps.vectors(row["vectors"], 10)
+                yield steps.filtered(ids, nodes, phi, x)
 
-    solved = op.select("block", "ids").join(state.df.select("block", "vectors"), "block").mapInArrow(unpack, "_f long, node_id long, filtered double")
-    out = cut(placed.join(solved, ["_f", "node_id"]).select("_f", "node_id", "value", "k", "filtered"), "filtered")
+    out = steps.answer(op, state.df, placed, unpack)
     state.drop()
     return out
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import assembly, geometry, remap, topology
 from ..sources import models
 from ..sources.store import PreparedMesh
+from ..sources.tables import cut
 
 
 def _extent(cells: DataFrame) -> tuple[int, int]:
@@ -24,8 +25,8 @@ def prepare_triangular(nodes: DataFrame, elements: DataFrame, meshtype: str = "r
     are shifted by the number of nodes, which ``filter_velocity`` takes as ``shift``.  Where elements
     are land, nodes without an ocean element keep their values.  Nodes in no element have area 1e-5.
     """
-    ge = geometry.triangle_geometry(elements, nodes, meshtype, cartesian, cyclic_length)
-    areas = nodes.select("node_id").join(geometry.node_areas(ge), "node_id", "left").fillna(1e-5, ["area"])
+    ge = cut(geometry.triangle_geometry(elements, nodes, meshtype, cartesian, cyclic_length), "geometry")  # read by node areas and operator
+    areas = nodes.select("node_id", "x", "y").join(geometry.node_areas(ge), "node_id", "left").fillna(1e-5, ["area"])
     n = nodes.agg(F.max("node_id")).first()[0] + 1 if full else 0
     twice = lambda df: df.unionByName(df.withColumn("node_id", F.col("node_id") + n)) if full else df
     operator = assembly.metric_block(ge, areas, n) if full else assembly.stiffness(ge, areas)

@@ -4,8 +4,9 @@
 task that holds it, so work scales with the number of fields.  ``distributed``: conjugate gradients
 as DataFrame steps for operators beyond that size, all right-hand sides advancing together.
 ``blocks``: stabilised biconjugate gradients over blocks of nodes, for operators of any size, symmetric or not.
+``overlap``: blocks solved with rings of their surroundings, for scales of up to some ten cells; ``blocks`` beyond that.
 ``spectral``: fast cosine transforms of lines on a closed uniform grid.  ``auto`` takes ``local`` up to LOCAL_ENTRIES
-entries, then ``spectral`` where the mesh is such a grid and each field has one scale, else ``blocks``.
+entries, then ``spectral`` where the mesh is such a grid and each field has one scale, else ``overlap``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from ..sources.store import PreparedMesh
 from ..sources.tables import cut, removed
 from .blocks import blocked_solve
+from .overlap import overlapped_solve
 
 #: Entries of an operator that may be broadcast (about 24 bytes each).
 LOCAL_ENTRIES = 4_000_000
@@ -97,9 +99,14 @@ def broadcast_csr(mesh: PreparedMesh):
     """(the operator as broadcast CSR with areas, or None beyond LOCAL_ENTRIES; its entries), made once for a mesh."""
     made = mesh.cache.get("csr")
     if made is None or (made[0] is None) != (made[1] > LOCAL_ENTRIES):
-        op = mesh.operator.select("i", "j", "s").limit(LOCAL_ENTRIES + 1).toArrow()
-        node = mesh.node.select("node_id", "area").limit(LOCAL_ENTRIES + 1).toArrow().sort_by("node_id")
-        n, shared = max(op.num_rows, node.num_rows), None
+        n, shared = mesh.node.count(), None
+        if n > LOCAL_ENTRIES // 16:
+            mesh.write()
+            n = max(n, mesh.operator.count())
+        if n <= LOCAL_ENTRIES:
+            op = mesh.operator.select("i", "j", "s").limit(LOCAL_ENTRIES + 1).toArrow()
+            node = mesh.node.select("node_id", "area").toArrow().sort_by("node_id")
+            n = max(op.num_rows, node.num_rows)
         if n <= LOCAL_ENTRIES:
             csr = Csr(node.column("node_id").to_numpy(), *[op.column(c).to_numpy() for c in "ijs"])
             shared = mesh.node.sparkSession.sparkContext.broadcast((csr, node.column("area").to_numpy(), mesh.symmetric))
@@ -256,7 +263,7 @@ def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, so
     """(fields, filtered) by the tier named; ``local`` raises for an operator beyond LOCAL_ENTRIES."""
     if order < 1:
         raise ValueError("the order must be at least 1")
-    if solver not in ("auto", "local", "distributed", "blocks", "spectral"):
+    if solver not in ("auto", "local", "distributed", "overlap", "blocks", "spectral"):
         raise NotImplementedError(f"solver {solver!r}")
     if solver == "spectral" and not (mesh.grid and _one_scale(fields, keys)):
         raise ValueError("cosine transforms need a closed uniform grid and one scale for each field")
@@ -265,10 +272,11 @@ def solve(mesh: PreparedMesh, fields: DataFrame, keys: list[str], order: int, so
             return local_solve(mesh, fields, keys, order, tol=tol, most=most)
         if solver == "local":
             raise ValueError(f"the operator has more than {LOCAL_ENTRIES} entries")
-        solver = "spectral" if mesh.grid and _one_scale(fields, keys) else "blocks"
+        solver = "spectral" if mesh.grid and _one_scale(fields, keys) else "overlap"
     if solver == "spectral":
         return _spectral(mesh, fields, keys, order)
-    if solver == "blocks":
+    if solver in ("overlap", "blocks"):
         _check_cover(mesh, fields, keys)
-        return blocked_solve(mesh, fields, keys, order, tol, most)
+        out = overlapped_solve(mesh, fields, keys, order, tol, min(most, 100)) if solver == "overlap" else None
+        return out if out is not None else blocked_solve(mesh, fields, keys, order, tol, most)
     return distributed_solve(mesh, fields, keys, order, tol, most)

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .tables import cut
+
 
 @dataclass
 class PreparedMesh:
@@ -21,6 +23,12 @@ class PreparedMesh:
     grid: tuple[int, int, float] | None = None
     cache: dict = field(default_factory=dict, repr=False, compare=False)  # what solves make once, never saved
 
+    def write(self) -> None:
+        """From now on ``node`` and ``operator`` are read from tables, not assembled anew by each job."""
+        if not self.cache.get("written"):
+            self.node, self.operator = cut(self.node, "mesh-node"), cut(self.operator, "mesh-operator")
+            self.cache["written"] = True
+
 
 NEEDED = {"node": {"node_id": "bigint", "area": "double"}, "operator": {"i": "bigint", "j": "bigint", "s": "double"}}
 
@@ -53,7 +61,7 @@ def load(spark: SparkSession, path: str) -> PreparedMesh:
     meta = {"symmetric": False, "more": [], "nx": None} | spark.read.parquet(f"{path}/meta").first().asDict()
     read = lambda n: coerced(spark.read.parquet(f"{path}/{n}"), n)
     grid = (meta["nx"], meta["ny"], meta["cell_area"]) if meta["nx"] else None
-    return PreparedMesh(read("node"), read("operator"), bool(meta["symmetric"]), {n: read(n) for n in meta["more"] or []}, grid)
+    return PreparedMesh(read("node"), read("operator"), bool(meta["symmetric"]), {n: read(n) for n in meta["more"] or []}, grid, {"written": True})
 
 
 def save_spectra(spectra: DataFrame, path: str) -> None:
