@@ -26,8 +26,12 @@ def rows_by_area(operator: DataFrame, areas: DataFrame) -> DataFrame:
 
 
 def stiffness(geometry: DataFrame, areas: DataFrame) -> DataFrame:
-    """The Laplacian of a triangular mesh, rows divided by node area."""
-    return rows_by_area(summed(_pairs(geometry, _stiffness_value)), areas)
+    """The Laplacian of a triangular mesh, rows divided by node area; symmetric before that, so a pair is summed once and mirrored."""
+    half = F.array(*[F.struct(F.least(f"n{a}", f"n{b}").alias("i"), F.greatest(f"n{a}", f"n{b}").alias("j"), _stiffness_value(a, b).alias("s")) for a in range(3) for b in range(a, 3)])
+    once = summed(geometry.select(F.explode(half).alias("b")).select("b.i", "b.j", "b.s"))
+    there, back = F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))
+    both = once.select("s", F.explode(F.when(F.col("i") == F.col("j"), F.array(there)).otherwise(F.array(there, back))).alias("p"))
+    return rows_by_area(both.select("p.i", "p.j", "s"), areas)
 
 
 def metric_block(geometry: DataFrame, areas: DataFrame, n: int) -> DataFrame:

@@ -217,13 +217,14 @@ def test_scales_too_wide_for_the_overlap_go_to_the_blocks(spark, monkeypatch):
         overlap.overlapped_solve(mesh, f.withColumn("value", F.lit(float("nan"))), ["snapshot_id"], 1, 1e-11, 100)
 
 
-def test_a_mesh_beyond_the_local_bound_takes_a_few_jobs(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["filter_tri", "filter_variable_scale"])
+def test_a_mesh_beyond_the_local_bound_takes_a_few_jobs(spark, monkeypatch, name):
     """15,000 customers; the mesh is assembled once, and its places make the blocks."""
     sf = "/root/testdata/sf0.1"
-    want = [r.filtered for r in Q.QUERIES["filter_tri"](spark, sf).orderBy("node_id").collect()]
+    want = [r.filtered for r in Q.QUERIES[name](spark, sf).orderBy("node_id").collect()]
     made, init = [], blocks.Bucketed.__init__
     monkeypatch.setattr(solver, "LOCAL_ENTRIES", 1000)
     monkeypatch.setattr(blocks.Bucketed, "__init__", lambda self, *a, **b: made.append(1) or init(self, *a, **b))
     assert {"x", "y"} <= set(Q.customer_mesh(Q.customers(spark, sf)).node.columns)
-    got = [r.filtered for r in Q.QUERIES["filter_tri"](spark, sf).orderBy("node_id").collect()]
+    got = [r.filtered for r in Q.QUERIES[name](spark, sf).orderBy("node_id").collect()]
     assert np.allclose(got, want, atol=1.01e-4) and len(made) <= 8
